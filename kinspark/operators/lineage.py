@@ -19,9 +19,8 @@ by then. Three facts make this cheap:
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinspark.operators.kinship import descent_edges, marriage_edges
@@ -37,11 +36,12 @@ FREQUENT_KEYS = 10_000  # bound of the list of frequent keys that is broadcast
 FREQUENT_EDGES = 1_000_000  # a key with more edges than this is kept out of the buckets
 
 
-@dataclass
+@dataclass(frozen=True)
 class Step:
-    """Persons first reached by one step, as a written table of distinct ``hik``."""
+    """Persons first reached by one step: a written table of distinct ``hik`` and its row count."""
 
-    ids: DataFrame
+    stage: Stage
+    path: str
     size: int
 
 
@@ -58,7 +58,9 @@ class Walk:
 
 
 def stack(steps: list[Step]) -> DataFrame:
-    return reduce(DataFrame.unionAll, (step.ids for step in steps))
+    """The persons of several steps, as one scan over their folders."""
+    stage = steps[0].stage
+    return stage.spark.read.schema("hik string").parquet(*(step.path for step in steps))
 
 
 class EdgeIndex:
@@ -74,7 +76,7 @@ class EdgeIndex:
         self.stage = stage
         self.broadcast_ids = broadcast_ids
         self.frequent_edges = frequent_edges
-        self.pairs = stage.save("lineage/pairs", edges.select("src", "tgt"))
+        self.pairs = stage.save("lineage_pairs", edges.select("src", "tgt"))
         self._buckets: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]] = {}
 
     def neighbours(self, frontier: list[Step], direction: str) -> DataFrame:
@@ -97,12 +99,12 @@ class EdgeIndex:
             counts = self.pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
             frequent = counts.filter(F.col("n") > self.frequent_edges)
             frequent = frequent.orderBy(F.col("n").desc()).limit(FREQUENT_KEYS).select(key)
-            frequent = save(f"lineage/frequent_{direction}", frequent)
+            frequent = save(f"frequent_{direction}", frequent)
             spread, gathered = self.pairs, None
             if not frequent.isEmpty():
                 spread = self.pairs.join(F.broadcast(frequent), key, "left_anti")
                 gathered = self.pairs.join(F.broadcast(frequent), key, "left_semi")
-                gathered = save(f"lineage/gathered_{direction}", gathered)
+                gathered = save(f"gathered_{direction}", gathered)
             buckets = int(self.stage.spark.conf.get("spark.sql.shuffle.partitions"))
             spread = self.stage.save_bucketed(f"pairs_{direction}", spread, key, buckets)
             self._buckets[direction] = (spread, gathered, frequent)
@@ -110,17 +112,16 @@ class EdgeIndex:
 
 
 class LineageWalker:
-    """Runs half-rounds over an edge index; every step is one Spark job plus a row count."""
+    """Runs half-rounds over an edge index; every step writes the persons it reaches."""
 
     def __init__(self, index: EdgeIndex, stage: Stage):
         self.index = index
         self.stage = stage
-        self.steps = 0
 
     def write(self, ids: DataFrame) -> Step:
-        self.steps += 1
-        table = self.stage.save(f"lineage/step_{self.steps:03d}", ids.select("hik"))
-        return Step(table, table.count())
+        rows = Observation()
+        counted = ids.select("hik").observe(rows, F.count(F.lit(1)).alias("n"))
+        return Step(self.stage, self.stage.write("lineage_step", counted), rows.get["n"])
 
     def half_round(self, walk: Walk, direction: str, hops: int) -> bool:
         """Expand everyone waiting in this direction; True if somebody was reached."""
@@ -157,7 +158,7 @@ class LineageWalker:
         pairs = self.index.pairs.join(expanded, "src", "left_semi")
         ends = pairs.select(F.explode(F.array("src", "tgt")).alias("hik"))
         carried = carried.select("hik").filter(F.col("hik").isNotNull())
-        kept = self.write(seeds.ids.join(ends.unionAll(carried), "hik", "left_semi"))
+        kept = self.write(stack([seeds]).join(ends.unionAll(carried), "hik", "left_semi"))
         joined = self.write(carried.distinct().join(walk.known(), "hik", "left_anti"))
         walk.reached = [kept, joined, *found]
         walk.waiting[DOWN] = [kept, joined, *found]

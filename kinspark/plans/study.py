@@ -88,7 +88,7 @@ class Study:
         return lineage.Lineage(self.stage.save("lineage_links", built.links), built.members)
 
     def build_lineage(self, rounds: int = 3) -> lineage.Lineage:
-        return lineage.bounded_lineage(self.links, self.base, Stage(self.spark), rounds=rounds)
+        return lineage.bounded_lineage(self.links, self.base, self.stage, rounds=rounds)
 
     @cached_property
     def graph(self) -> DataFrame:

@@ -28,31 +28,42 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Stage:
-    """A folder of named tables under the checkpoint folder, one folder per instance."""
+    """A folder under the checkpoint folder, one per instance, holding one table per ``save``.
+
+    Every written table gets a path of its own, so a table handed out earlier never changes.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.id = uuid.uuid4().hex[:12]
         self.root = f"{checkpoint_root(spark)}/kinspark-{self.id}"
+        self._count = 0
         self._tables: list[str] = []
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def new_path(self, name: str) -> str:
+        self._count += 1
+        return f"{self.root}/{self._count:04d}-{name}"
+
+    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+        """Write ``df`` as Parquet and return the path."""
+        path = self.new_path(name)
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        return path
 
     def save(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         """Write ``df`` and return the written table with the same columns and types."""
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name)).select(*df.columns)
+        path = self.write(name, df, partition_by)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def save_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
         """Write ``df`` hashed and sorted by ``key``, so joins on it need no shuffle of this side."""
-        table = f"kinspark_{self.id}_{name}"
+        table = f"kinspark_{self.id}_{self._count}_{name}"
         (
             df.repartition(buckets, key)
             .write.mode("overwrite")
             .bucketBy(buckets, key)
             .sortBy(key)
-            .option("path", self.path(name))
+            .option("path", self.new_path(name))
             .saveAsTable(table)
         )
         self._tables.append(table)
