@@ -173,7 +173,7 @@ def _expanded_edges(edges: DataFrame, walk: Walk) -> DataFrame:
         if steps
     ]
     if not picked:
-        return edges.limit(0)
+        return edges.limit(0).select(*LINEAGE_COLUMNS)
     chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1]).distinct()
     return chosen.select(*LINEAGE_COLUMNS)
 

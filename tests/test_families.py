@@ -1,0 +1,174 @@
+"""Family units: counts, validity, sequence, flags, numbering, and the hot groups."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinspark.operators import families
+from kinspark.operators.person_records import person_records
+from kinspark.sources.schemas import EXTRACT_COLUMNS
+
+from tests.conftest import family, plan_of
+
+
+def members_of(census_rows, stage, **kwargs):
+    return families.family_members(families.with_family(person_records(census_rows), stage, **kwargs))
+
+
+def extract_of(census_rows, batches, stage, **kwargs):
+    return families.census_extract(person_records(census_rows), batches, stage, **kwargs)
+
+
+def test_couple_with_child(census, batches, stage):
+    rows = extract_of(census(*family("00000001")), batches(13), stage).orderBy("famseq").collect()
+    assert rows[0].asDict().keys() == dict.fromkeys(EXTRACT_COLUMNS).keys()
+    assert [(r.rolecode, r.famseq, r.famhead, r.parent, r.couple, r.batch) for r in rows] == [
+        ("1", 1, True, True, True, 13),
+        ("2", 2, False, True, True, 13),
+        ("3", 3, False, False, False, 13),
+    ]
+
+
+def test_which_families_are_kept(census, stage):
+    single_mother = [
+        {"serial": "2", "sex": "2", "pernum": "0001"},
+        {"serial": "2", "momloc": "01", "pernum": "0002", "age": "010"},
+    ]
+    lone_man = [{"serial": "3"}]
+    orphans = [{"serial": "4", "poploc": "01", "momloc": "02", "pernum": "0003"}]
+    childless = family("5", children=0)
+    rows = members_of(census(*single_mother, *lone_man, *orphans, *childless), stage).collect()
+    by_serial = {}
+    for r in rows:
+        by_serial.setdefault(r.household[4:], []).append(r)
+    assert {k: len(v) for k, v in by_serial.items()} == {"2": 2, "5": 2}
+    mother = next(r for r in by_serial["2"] if r.rolecode == "2")
+    assert (mother.famhead, mother.parent, mother.couple) == (True, True, False)
+    assert {(r.famhead, r.parent, r.couple) for r in by_serial["5"]} == {
+        (True, False, True),
+        (False, False, True),
+    }
+
+
+def test_colliding_slot_drops_the_family(census, stage):
+    intruder = {"serial": "1", "pernum": "0102", "sploc": "01", "sex": "2"}
+    assert members_of(census(*family("1"), intruder), stage).count() == 0
+
+
+def test_twins_are_ordered_by_record(census, stage):
+    rows = members_of(census(*reversed(family("1", children=3))), stage).orderBy("famseq").collect()
+    assert [r.personcode[-4:] for r in rows] == ["0001", "0002", "0003", "0004", "0005"]
+
+
+def test_unknown_birth_year_sorts_last(spark, stage, census):
+    persons = person_records(census(*family("1", children=2)))
+    unknown = F.when(F.col("personcode").endswith("0003"), None).otherwise(F.col("birthyr"))
+    rows = families.with_family(persons.withColumn("birthyr", unknown), stage).orderBy("famseq").collect()
+    assert [r.personcode[-1] for r in rows] == ["1", "2", "4", "3"]
+
+
+def test_step_family(census, stage):
+    rows = family("1")
+    rows[2].update(steppop="1", stepmom="1")
+    flags = members_of(census(*rows), stage).orderBy("famseq").collect()
+    assert [r.stepfam for r in flags] == [False, False, True]
+
+
+def test_two_adults_without_code_leave_one_empty_row(census, batches, stage):
+    odd = [{"sex": "9", "pernum": "0001"}, {"sex": "9", "pernum": "0002"}]
+    rows = extract_of(census(*odd, *family("7")), batches(13), stage).collect()
+    empty = [r for r in rows if r.personcode is None]
+    assert len(rows) == 4 and len(empty) == 1
+    known = {k: v for k, v in empty[0].asDict().items() if v is not None}
+    assert known == {
+        "famhead": False, "famseq": 1, "stepfam": False, "parent": False, "couple": False, "batch": 13,
+    }
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [{"sex": "9"}],
+        [{"sex": "9"}, {"poploc": "01", "momloc": None, "age": "010"}],
+        [{"sex": "9"}] * 3,
+    ],
+)
+def test_other_rows_without_code_leave_nothing(census, batches, stage, rows):
+    assert extract_of(census(*rows), batches(13), stage).count() == 0
+
+
+def test_family_counts_of_the_missing_code(census):
+    counts = families.family_counts(
+        person_records(census({"sex": "9"}, {"poploc": "01", "momloc": None, "age": "010"}, *family("1")))
+    )
+    assert {(r.famcode, r.adults, r.children) for r in counts.collect()} == {
+        (None, 1, None),
+        ("187010102", 2, 1),
+    }
+
+
+def test_second_blank_test_on_key_and_district(census, batches, stage):
+    rows = family("1")
+    rows[0].update(hik=" " * 4, enumdist="  ")
+    rows[1].update(enumdist=" 1")
+    first, second, _ = extract_of(census(*rows), batches(13), stage).orderBy("famseq").collect()
+    assert (first.hik, first.hiklink, first.enumdist) == (None, True, None)
+    assert second.enumdist == " 1"
+
+
+@pytest.mark.parametrize("numbers, latest", [((9, 13), 13), ((13, None, 14), None), ((), None)])
+def test_latest_batch(census, batches, stage, numbers, latest):
+    rows = extract_of(census(*family("1")), batches(*numbers), stage).collect()
+    assert {r.batch for r in rows} == {latest}
+
+
+def test_ordinary_plan_shuffles_the_records_once(spark, census, batches, stage):
+    table = stage.save("census", census(*family("1")))
+    plan = plan_of(extract_of(table, batches(13), stage))
+    main = plan.split("Subquery")[0] if plan.startswith("Subquery") else plan
+    assert main.count("Exchange hashpartitioning(famcode") == 1
+    assert main.count("Sort [") == 1
+
+
+def large_and_small(census):
+    """Four ordinary families, one of 40 children, and one listed family with three adults."""
+    rows = [r for s in "1234" for r in family(s, children=2)]
+    rows += family("5", children=40)
+    rows += [*family("6", children=30), {"serial": "6", "pernum": "0102", "sploc": "01", "sex": "2"}]
+    return census(*rows, *family("5", children=40)[30:35])  # five records come twice
+
+
+def test_large_families_give_the_same_members(census, stage):
+    rows = large_and_small(census).repartition(5)
+    columns = ["personcode", "famcode", "famseq", "famhead", "parent", "couple", "famadults", "famchildren"]
+    plain = members_of(rows, stage).select(columns)
+    split = members_of(rows, stage, large=10).select(columns)
+    assert sorted(plain.collect()) == sorted(split.collect())
+    assert split.count() == 16 + 47
+
+
+def test_family_number_ranks_families_in_county_and_year(census, stage, spark):
+    rows = [r for i in range(30) for r in family(f"{i * 37:08d}", stateicp="51" if i % 3 else "52")]
+    members = families.with_family_number(members_of(census(*rows), stage))
+    got = {(r.countycode, r.famcode): r.famno for r in members.collect()}
+    for county in {c for c, _ in got}:
+        codes = sorted(f for c, f in got if c == county)
+        assert [got[county, f] for f in codes] == list(range(1, len(codes) + 1))
+    assert members.count() == 90
+
+
+def test_family_number_of_unknown_county_and_code(spark):
+    members = spark.createDataFrame(
+        [(1870, None, "b"), (1870, None, "a"), (1870, None, "a"), (None, None, None)],
+        "cenyear smallint, countycode string, famcode string",
+    )
+    got = {(r.cenyear, r.famcode): r.famno for r in families.family_numbers(members).collect()}
+    assert got == {(1870, "a"): 1, (1870, "b"): 2, (None, None): 1}
+
+
+def test_wide_extract(census, batches, stage):
+    wide = families.census_extract_wide(person_records(census(*family("1"))), batches(13), stage)
+    rows = wide.orderBy("famseq").collect()
+    assert [(r.famno, r.famadults, r.famchildren, r.cfu) for r in rows] == [(1, 2, 1, True)] * 3
+    assert rows[0].household == "18701"
