@@ -60,9 +60,7 @@ def special_families(persons: DataFrame, large: int = LARGE_FAMILY) -> list[Row]
     return special.orderBy(F.col("famcode").isNotNull(), size.desc()).limit(LISTED_FAMILIES + 1).collect()
 
 
-def with_family(
-    persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY
-) -> DataFrame:
+def with_family(persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY) -> DataFrame:
     """Members of valid families, with ``famadults``, ``famchildren`` and ``famseq``."""
     special = special_families(persons, large)
     listed = [row for row in special if row.famcode is not None]
@@ -89,7 +87,7 @@ def with_family(
 
 def _ordinary_members(coded: DataFrame) -> DataFrame:
     """One shuffle and one sort: both counts and the sequence share the same window."""
-    order = [F.col("rolecode"), F.col("birthyr").asc_nulls_last(), F.col("personcode")]
+    order = [F.col(c).asc_nulls_last() for c in MEMBER_ORDER]
     family = Window.partitionBy("famcode").orderBy(*order)
     whole = family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = coded.select(

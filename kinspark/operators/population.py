@@ -78,7 +78,7 @@ def study_population(
 
     ``people`` is one row per person, so every join here is between unique keys.
     """
-    known_adults = adults.filter(F.col("sex").isNotNull()).select("hik", F.lit("1").alias("adult"))
-    known_adults = known_adults.dropDuplicates(["hik"])
+    known_adults = adults.filter(F.col("sex").isNotNull()).select("hik").distinct()
+    known_adults = known_adults.withColumn("adult", F.lit("1"))
     chosen = with_slaveholding(people.join(ids, "hik", "left_semi"), slaveholders)
     return chosen.join(known_adults, "hik", "left").withColumn("adult", F.coalesce("adult", F.lit("0")))

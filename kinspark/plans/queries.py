@@ -40,7 +40,7 @@ def _fixed_width_load(study: Study) -> DataFrame:
 
 
 def _walk(study: Study, direction: str, hops: int) -> DataFrame:
-    return lineage.walk_edges(study.links, study.base, direction, hops, study.stage)
+    return lineage.walk_edges(study.descent, study.base, direction, hops, study.stage)
 
 
 QUERIES: dict[str, Callable[[Study], DataFrame]] = {
@@ -90,10 +90,10 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "descendants_3": lambda s: _walk(s, lineage.DOWN, 3),
     "lineage_round_1": lambda s: s.build_lineage(rounds=1).links,
     "lineage_links": lambda s: s.build_lineage().links,
-    "lineage_members": lambda s: s.lineage.members,
-    "lineage_marriages": lambda s: lineage.lineage_marriages(s.links, s.lineage.links),
+    "lineage_members": lambda s: s.build_lineage().members,
+    "lineage_marriages": lambda s: lineage.lineage_marriages(s.marriages, s.lineage.links),
     "lineage_adult_only": lambda s: lineage.adult_links_only(s.lineage.links, s.adults),
-    "linked_families": lambda s: lineage.linked_families(s.links, s.lineage.links),
+    "linked_families": lambda s: lineage.linked_families(s.marriages, s.lineage.links),
     "study_ids": lambda s: population.study_ids(s.graph),
     "study_population": Study.build_study_population,
 }

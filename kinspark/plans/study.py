@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
@@ -15,9 +16,8 @@ from kinspark.sources.stage import Stage
 class Study:
     """One run over one input folder.
 
-    Properties are the written tables (what the chain materialises between its steps); methods of
-    the operator modules called on them are lazy. ``rounds``, ``hops``, ``years`` and ``zones``
-    default to the published study design.
+    Cached properties are the written tables, made on first use; ``build_`` methods return the
+    step itself, not yet written.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -69,9 +69,24 @@ class Study:
         return self.stage.save("slaveholders", census_inputs.slaveholders(self.master))
 
     @cached_property
+    def _links(self) -> DataFrame:
+        """Laid out by kind of edge, so that the walk does not read marriages, nor the rest descent."""
+        married = F.coalesce(F.col("edg") == "0", F.lit(False)).cast("int").alias("married")
+        return self.stage.save(
+            "links", kinship.kinship_links(self.master).select("*", married), partition_by=["married"]
+        )
+
+    @property
     def links(self) -> DataFrame:
-        """Laid out by kind of edge, so that the walk reads descent and the rest marriage only."""
-        return self.stage.save("links", kinship.kinship_links(self.master), partition_by=["edg"])
+        return self._links.drop("married")
+
+    @property
+    def descent(self) -> DataFrame:
+        return self._links.filter("married = 0").drop("married")
+
+    @property
+    def marriages(self) -> DataFrame:
+        return self._links.filter("married = 1").drop("married")
 
     @cached_property
     def base(self) -> DataFrame:
@@ -88,11 +103,11 @@ class Study:
         return lineage.Lineage(self.stage.save("lineage_links", built.links), built.members)
 
     def build_lineage(self, rounds: int = 3) -> lineage.Lineage:
-        return lineage.bounded_lineage(self.links, self.base, self.stage, rounds=rounds)
+        return lineage.bounded_lineage(self.descent, self.base, self.stage, rounds=rounds)
 
     @cached_property
     def graph(self) -> DataFrame:
-        return self.stage.save("graph", lineage.linked_families(self.links, self.lineage.links))
+        return self.stage.save("graph", lineage.linked_families(self.marriages, self.lineage.links))
 
     @cached_property
     def ids(self) -> DataFrame:

@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     """For tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("kinspark")
     builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
