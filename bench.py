@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from kinspark.plans.queries import QUERIES  # noqa: E402
-from kinspark.plans.study import Study  # noqa: E402
+from kinspark.plans.study import FolderStudy  # noqa: E402
 from kinspark.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,7 +37,7 @@ def timed(action) -> float:
 
 def chain(spark) -> dict[str, float]:
     """Seconds per written table of a fresh run, in order."""
-    study = Study(spark, SF_DIR)
+    study = FolderStudy(spark, SF_DIR)
     steps = {
         name: timed(lambda name=name: getattr(study, name))
         for name in (
@@ -54,7 +54,7 @@ def main() -> None:
     cores = int(CPUS) if CPUS.isdigit() else os.cpu_count()
     spark = local_session(cores=cores, shuffle_partitions=cores)
     names = ONLY or list(QUERIES)
-    study = Study(spark, SF_DIR)
+    study = FolderStudy(spark, SF_DIR)
     seconds = {}
     for name in names:
         drain(QUERIES[name](study))

@@ -61,7 +61,10 @@ def special_families(persons: DataFrame, large: int = LARGE_FAMILY) -> list[Row]
 
 
 def with_family(persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY) -> DataFrame:
-    """Members of valid families, with ``famadults``, ``famchildren`` and ``famseq``."""
+    """Members of valid families, with ``famadults``, ``famchildren`` and ``famseq``.
+
+    The last two are long: a 16-bit number would end the job at a family of 32,768.
+    """
     special = special_families(persons, large)
     listed = [row for row in special if row.famcode is not None]
     coded = persons.filter(F.col("famcode").isNotNull())
@@ -77,8 +80,8 @@ def with_family(persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY) ->
     members = members.select(
         *persons.columns,
         F.col("famadults").cast("smallint").alias("famadults"),
-        F.nullif(F.col("famchildren"), F.lit(0)).cast("smallint").alias("famchildren"),
-        F.col("famseq").cast("smallint").alias("famseq"),
+        F.nullif(F.col("famchildren"), F.lit(0)).cast("long").alias("famchildren"),
+        F.col("famseq").cast("long").alias("famseq"),
     )
     if any(row.famcode is None and row.adults == 2 for row in special):
         members = members.unionByName(_unmatched_family(members))

@@ -74,9 +74,9 @@ SELECT p.* EXCLUDE (famcode, hik, enumdist), v.famcode AS famcode,
   CASE WHEN p.hik NOT LIKE '%    %' THEN p.hik END AS hik,
   CASE WHEN p.enumdist NOT LIKE '%  %' THEN p.enumdist END AS enumdist,
   row_number() OVER (PARTITION BY v.famcode
-    ORDER BY p.rolecode NULLS LAST, p.birthyr NULLS LAST, p.personcode NULLS LAST)::SMALLINT AS famseq,
+    ORDER BY p.rolecode NULLS LAST, p.birthyr NULLS LAST, p.personcode NULLS LAST) AS famseq,
   dense_rank() OVER (PARTITION BY p.cenyear, p.countycode ORDER BY p.famcode NULLS LAST) AS famno,
-  v.adults::SMALLINT AS famadults, v.children::SMALLINT AS famchildren,
+  v.adults::SMALLINT AS famadults, v.children AS famchildren,
   coalesce(NOT p.unmc AND ((v.adults = 2 AND p.rolecode = '1')
     OR (v.adults = 1 AND p.rolecode <> '3')), false) AS famhead,
   coalesce(NOT p.unmc AND v.children > 0, false) AS parent,

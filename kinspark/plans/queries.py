@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import PASSED_THROUGH, person_records
 from kinspark.plans import census_inputs
-from kinspark.plans.study import Study, study_of
+from kinspark.plans.study import FolderStudy, study_of
 from kinspark.sources import codebook
 from kinspark.sources.schemas import CENSUS_WIDTHS
 from kinspark.sources.zones import zone_dimension
@@ -18,32 +18,32 @@ from kinspark.sources.zones import zone_dimension
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _members(study: Study) -> DataFrame:
+def _members(study: FolderStudy) -> DataFrame:
     return families.family_members(families.with_family(study.persons, study.stage))
 
 
-def _family_counts(study: Study) -> DataFrame:
+def _family_counts(study: FolderStudy) -> DataFrame:
     counts = families.family_counts(study.persons)
     valid = families.is_valid(F.col("adults"), F.col("children"))
     return counts.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
-def _zone_dim(study: Study) -> DataFrame:
+def _zone_dim(study: FolderStudy) -> DataFrame:
     return study.counties.join(F.broadcast(zone_dimension(study.spark)), "zone")
 
 
-def _fixed_width_load(study: Study) -> DataFrame:
+def _fixed_width_load(study: FolderStudy) -> DataFrame:
     layout = codebook.layout_from_widths(CENSUS_WIDTHS)
     path = study.stage.new_path("census_text")
     codebook.to_fixed_width(study.census, layout).write.mode("overwrite").text(path)
     return codebook.read_fixed_width(study.spark, path, layout)
 
 
-def _walk(study: Study, direction: str, hops: int) -> DataFrame:
+def _walk(study: FolderStudy, direction: str, hops: int) -> DataFrame:
     return lineage.walk_edges(study.descent, study.base, direction, hops, study.stage)
 
 
-QUERIES: dict[str, Callable[[Study], DataFrame]] = {
+QUERIES: dict[str, Callable[[FolderStudy], DataFrame]] = {
     "census_famcode": lambda s: s.persons.select("personcode", "famcode", "rolecode"),
     "census_person": lambda s: s.persons.select(
         "personcode", "household", "cenyear", "birthyr", "age", *PASSED_THROUGH,
@@ -62,7 +62,7 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
         "famcode", "famseq", "personcode", "rolecode", "birthyr"
     ),
     "family_number": lambda s: families.family_numbers(s.extract),
-    "census_extract": Study.build_extract,
+    "census_extract": lambda s: s.build_extract(s.census, s.batches),
     "family_members_wide": lambda s: families.census_extract_wide(s.persons, s.batches, s.stage),
     "census_extract_private_hh": lambda s: families.census_extract(
         person_records(s.census, private_households_only=True), s.batches, s.stage
@@ -75,12 +75,12 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "unique_persons": lambda s: people.unique_persons(s.master),
     "adult_hiks": lambda s: people.adult_hiks(s.master),
     "child_hiks": lambda s: people.child_hiks(s.master),
-    "master_census": Study.build_master,
+    "master_census": FolderStudy.build_master,
     "parent_child_pairs": lambda s: kinship.parent_child_pairs(s.master),
     "descent_links": lambda s: kinship.descent_links(s.master),
     "marriage_links": lambda s: kinship.marriage_links(s.master),
     "kinship_links": lambda s: kinship.kinship_links(s.master),
-    "base_population": Study.build_base,
+    "base_population": FolderStudy.build_base,
     "base_population_adults": lambda s: population.base_population_adults(
         s.master, s.counties, s.slaveholders, people=s.attributes
     ),
@@ -95,12 +95,12 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "lineage_adult_only": lambda s: lineage.adult_links_only(s.lineage.links, s.adults),
     "linked_families": lambda s: lineage.linked_families(s.marriages, s.lineage.links),
     "study_ids": lambda s: population.study_ids(s.graph),
-    "study_population": Study.build_study_population,
+    "study_population": FolderStudy.build_study_population,
 }
 
 
 def queries() -> dict[str, Query]:
-    def bind(build: Callable[[Study], DataFrame]) -> Query:
+    def bind(build: Callable[[FolderStudy], DataFrame]) -> Query:
         return lambda spark, sf_dir: build(study_of(spark, sf_dir))
 
     return {name: bind(build) for name, build in QUERIES.items()}

@@ -1,7 +1,9 @@
-"""The chain from raw census to study population, each shared table written once."""
+"""The chain from regional census tables to the study population, each shared table written once."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,42 +13,62 @@ from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
 from kinspark.plans import census_inputs
 from kinspark.sources.stage import Stage
+from kinspark.sources.tables import replace_table, replace_table_ordered
 
 
-class Study:
-    """One run over one input folder.
+@dataclass(frozen=True)
+class Region:
+    """One regional census: raw person records and the import batches known when it is run."""
 
-    Cached properties are the written tables, made on first use; ``build_`` methods return the
-    step itself, not yet written.
-    """
+    census: DataFrame
+    batches: DataFrame
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-        self.stage = Stage(spark)
 
-    @cached_property
-    def census(self) -> DataFrame:
-        return self.stage.save("census", census_inputs.census(self.spark, self.sf_dir))
+@dataclass(frozen=True)
+class Design:
+    """Who the base population is and how far its lineage is followed."""
 
-    @cached_property
-    def counties(self) -> DataFrame:
-        return self.stage.save("counties", census_inputs.counties(self.census))
+    years: tuple[int, ...] = (1870,)
+    zones: tuple[str, ...] = ("KB",)
+    roles: tuple[str, ...] | None = None
+    rounds: int = 3
+    hops: int = 3
+    private_households_only: bool = False
+    adult_links_only: bool = False
 
-    @property
-    def batches(self) -> DataFrame:
-        return census_inputs.batches(self.spark, self.sf_dir)
 
-    @property
-    def persons(self) -> DataFrame:
-        return person_records(self.census)
+class Study:
+    """One run. Cached properties are the written tables, made on first use; ``build_`` methods
+    return the step itself, not yet written.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        regions: Sequence[Region],
+        counties: DataFrame,
+        slaveholders: DataFrame,
+        carried: DataFrame | None = None,
+        design: Design = Design(),
+    ):
+        self.spark = spark
+        self.stage = Stage(spark)
+        self.design = design
+        self.regions = list(regions)
+        self.counties = counties
+        self.slaveholders = slaveholders
+        self.carried = carried
 
     @cached_property
-    def extract(self) -> DataFrame:
-        return self.stage.save("extract", self.build_extract())
+    def extracts(self) -> list[DataFrame]:
+        return [
+            self.stage.save("extract", self.build_extract(region.census, region.batches))
+            for region in self.regions
+        ]
 
-    def build_extract(self) -> DataFrame:
-        return families.census_extract(self.persons, self.batches, self.stage)
+    def build_extract(self, census: DataFrame, batches: DataFrame) -> DataFrame:
+        persons = person_records(census, self.design.private_households_only)
+        return families.census_extract(persons, batches, self.stage)
 
     @cached_property
     def master(self) -> DataFrame:
@@ -54,7 +76,7 @@ class Study:
         return self.stage.save("master", self.build_master(), partition_by=["cenyear"])
 
     def build_master(self) -> DataFrame:
-        return people.master_census(census_inputs.extracts(self.extract))
+        return people.master_census(self.extracts)
 
     @cached_property
     def attributes(self) -> DataFrame:
@@ -65,8 +87,8 @@ class Study:
         return self.stage.save("adults", people.adult_hiks(self.master))
 
     @cached_property
-    def slaveholders(self) -> DataFrame:
-        return self.stage.save("slaveholders", census_inputs.slaveholders(self.master))
+    def children(self) -> DataFrame:
+        return self.stage.save("children", people.child_hiks(self.master))
 
     @cached_property
     def _links(self) -> DataFrame:
@@ -94,16 +116,32 @@ class Study:
 
     def build_base(self) -> DataFrame:
         return population.base_population(
-            self.master, self.counties, self.slaveholders, people=self.attributes
+            self.master,
+            self.counties,
+            self.slaveholders,
+            years=self.design.years,
+            zones=self.design.zones,
+            roles=self.design.roles,
+            people=self.attributes,
         )
 
     @cached_property
     def lineage(self) -> lineage.Lineage:
         built = self.build_lineage()
-        return lineage.Lineage(self.stage.save("lineage_links", built.links), built.members)
-
-    def build_lineage(self, rounds: int = 3) -> lineage.Lineage:
-        return lineage.bounded_lineage(self.descent, self.base, self.stage, rounds=rounds)
+        links = built.links
+        if self.design.adult_links_only:
+            links = lineage.adult_links_only(links, self.adults)
+        return lineage.Lineage(self.stage.save("lineage_links", links), built.members)
+
+    def build_lineage(self, rounds: int | None = None) -> lineage.Lineage:
+        return lineage.bounded_lineage(
+            self.descent,
+            self.base,
+            self.stage,
+            rounds=self.design.rounds if rounds is None else rounds,
+            hops=self.design.hops,
+            carried=self.carried,
+        )
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -116,13 +154,65 @@ class Study:
     def build_study_population(self) -> DataFrame:
         return population.study_population(self.attributes, self.ids, self.slaveholders, self.adults)
 
+    def write_tables(self, folder: str) -> None:
+        """Replace the result tables in ``folder``, laid out by the keys they are looked up by."""
+        replace_table(self.master, f"{folder}/master", partition_by=["cenyear"])
+        for name, table, order in (
+            ("links", self.links, ["src", "edg", "tgt"]),
+            ("adults", self.adults, ["hik"]),
+            ("children", self.children, ["hik"]),
+            ("base_population", self.base, ["hik"]),
+            ("linked_families", self.graph, ["src", "edg", "tgt"]),
+            ("study_population", self.build_study_population(), ["hik"]),
+        ):
+            replace_table_ordered(table, f"{folder}/{name}", order)
+
+
+class FolderStudy(Study):
+    """The study of the census-shaped inputs derived from one folder of driver tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self.stage = Stage(spark)
+        self.design = Design()
+        self.carried = None
+
+    @cached_property
+    def census(self) -> DataFrame:
+        return self.stage.save("census", census_inputs.census(self.spark, self.sf_dir))
+
+    @property
+    def persons(self) -> DataFrame:
+        return person_records(self.census)
+
+    @property
+    def batches(self) -> DataFrame:
+        return census_inputs.batches(self.spark, self.sf_dir)
+
+    @cached_property
+    def counties(self) -> DataFrame:
+        return self.stage.save("counties", census_inputs.counties(self.census))
+
+    @cached_property
+    def extract(self) -> DataFrame:
+        return self.stage.save("extract", self.build_extract(self.census, self.batches))
+
+    @property
+    def extracts(self) -> list[DataFrame]:
+        return census_inputs.extracts(self.extract)
+
+    @cached_property
+    def slaveholders(self) -> DataFrame:
+        return self.stage.save("slaveholders", census_inputs.slaveholders(self.master))
+
 
-_studies: dict[tuple[str, str], Study] = {}
+_studies: dict[tuple[str, str], FolderStudy] = {}
 
 
-def study_of(spark: SparkSession, sf_dir: str) -> Study:
+def study_of(spark: SparkSession, sf_dir: str) -> FolderStudy:
     """The study of this folder in this application; its written tables are shared by the queries."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _studies:
-        _studies[key] = Study(spark, sf_dir.rstrip("/"))
+        _studies[key] = FolderStudy(spark, sf_dir.rstrip("/"))
     return _studies[key]

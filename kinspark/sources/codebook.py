@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the pattern of a variable line (name, record basis, column range, length).
@@ -71,6 +71,17 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Iterable[Field]) ->
     return slice_fixed_width(spark.read.text(path), layout)
 
 
+def read_batch(spark: SparkSession, batch: Row, folder: str | None = None) -> DataFrame:
+    """The data file of one import batch, cut by the codebook beside it.
+
+    ``folder`` replaces the batch's own path where the files have moved.
+    """
+    place = (folder or batch["path"]).rstrip("/")
+    lines = spark.read.text(f"{place}/{batch['cbkfilename']}")
+    layout = layout_from_codebook(parse_codebook(lines, batch["pattern"]))
+    return read_fixed_width(spark, f"{place}/{batch['datafile']}", layout)
+
+
 def to_fixed_width(df: DataFrame, layout: Iterable[Field]) -> DataFrame:
     """The inverse of ``slice_fixed_width``; NULLs become blanks."""
     padded = [F.rpad(F.coalesce(F.col(f.name), F.lit("")), f.length, " ") for f in layout]

@@ -35,6 +35,18 @@ def test_codebook_and_fixed_width_file(spark, tmp_path):
     ]
 
 
+def test_import_batch(spark, tmp_path):
+    (tmp_path / "x.cbk").write_text(CODEBOOK)
+    (tmp_path / "x.dat").write_text("18700000000100011\n")
+    row = spark.createDataFrame(
+        [("D:/elsewhere", "x.cbk", "x.dat", codebook.CODEBOOK_PATTERN)],
+        "path string, cbkfilename string, datafile string, pattern string",
+    ).first()
+    read = codebook.read_batch(spark, row, folder=str(tmp_path))
+    assert read.columns == ["year", "serial", "pernum", "sex"]
+    assert tuple(read.first()) == ("1870", "00000001", "0001", "1")
+
+
 @pytest.mark.parametrize("line", ["  A   P   1-2,5-6   4", "  A   P   1-4   3"])
 def test_unusable_codebook_lines_are_refused(spark, line):
     with pytest.raises(ValueError):
