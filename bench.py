@@ -42,7 +42,7 @@ def chain(spark) -> dict[str, float]:
         name: timed(lambda name=name: getattr(study, name))
         for name in (
             "census", "counties", "extract", "master", "attributes", "adults", "slaveholders",
-            "links", "base", "lineage", "graph", "ids",
+            "descent", "marriages", "base", "lineage", "graph", "ids",
         )
     }
     steps["study_population"] = timed(lambda: study.stage.write("study", study.build_study_population()))

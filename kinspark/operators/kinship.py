@@ -60,6 +60,19 @@ def kinship_links(master: DataFrame) -> DataFrame:
     return descent_links(master).unionByName(marriage_links(master)).distinct()
 
 
+def marriages_with_zero_coded(descent: DataFrame, marriages: DataFrame) -> DataFrame:
+    """All edges coded '0': the marriages, and descent edges of a parent whose sex is coded '0'.
+
+    With ``descent`` already written, this and ``other_descent`` are ``kinship_links`` in two
+    disjoint parts, without shuffling the descent edges once more.
+    """
+    return marriages.unionByName(marriage_edges(descent)).distinct()
+
+
+def other_descent(descent: DataFrame) -> DataFrame:
+    return descent.filter(~F.coalesce(F.col("edg") == "0", F.lit(False)))
+
+
 def descent_edges(links: DataFrame) -> DataFrame:
     return links.filter(F.col("edg").isin("1", "2"))
 

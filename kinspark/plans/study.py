@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
@@ -91,24 +90,25 @@ class Study:
         return self.stage.save("children", people.child_hiks(self.master))
 
     @cached_property
-    def _links(self) -> DataFrame:
-        """Laid out by kind of edge, so that the walk does not read marriages, nor the rest descent."""
-        married = F.coalesce(F.col("edg") == "0", F.lit(False)).cast("int").alias("married")
-        return self.stage.save(
-            "links", kinship.kinship_links(self.master).select("*", married), partition_by=["married"]
-        )
-
-    @property
-    def links(self) -> DataFrame:
-        return self._links.drop("married")
+    def _descent(self) -> DataFrame:
+        return self.stage.save("descent", kinship.descent_links(self.master))
 
     @property
     def descent(self) -> DataFrame:
-        return self._links.filter("married = 0").drop("married")
+        return kinship.other_descent(self._descent)
 
-    @property
+    @cached_property
     def marriages(self) -> DataFrame:
-        return self._links.filter("married = 1").drop("married")
+        """Every edge coded '0', apart from the descent edges, so that the walk does not read it."""
+        marriages = kinship.marriage_links(self.master)
+        return self.stage.save(
+            "marriages", kinship.marriages_with_zero_coded(self._descent, marriages)
+        )
+
+    @property
+    def links(self) -> DataFrame:
+        """The kinship graph in its two written parts."""
+        return self.descent.unionByName(self.marriages)
 
     @cached_property
     def base(self) -> DataFrame:

@@ -17,7 +17,7 @@ TESTDATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=8, shuffle_partitions=8)
+    return local_session(cores=8, shuffle_partitions=3)
 
 
 @pytest.fixture

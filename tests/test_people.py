@@ -133,6 +133,10 @@ def test_parent_coded_zero_meets_marriage(records):
     links = kinship.kinship_links(records(*rows))
     assert as_set(links, "src", "tgt", "edg") == {("x", "y", "0")}
     assert links.count() == 1
+    descent, marriages = kinship.descent_links(records(*rows)), kinship.marriage_links(records(*rows))
+    coded_zero = kinship.marriages_with_zero_coded(descent, marriages)
+    parts = kinship.other_descent(descent).unionByName(coded_zero)
+    assert sorted(parts.collect()) == sorted(links.collect())
 
 
 def county_map(spark, *rows):

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from kinspark.operators.kinship import kinship_links
 from kinspark.plans.study import study_of
 
 EXPECTED_ROWS = {  # at the smallest scale
@@ -69,6 +70,7 @@ def test_chain_properties(spark, sf_dir):
     wrong |= (F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("places") != F.col("n"))
     assert families.filter(wrong).isEmpty()
     assert study.master.groupBy("personcode").count().filter("count > 1").isEmpty()
+    assert study.links.exceptAll(kinship_links(study.master)).isEmpty()
     kind = F.col("edg") == "0"
     assert study.links.groupBy("src", "tgt", kind).count().filter("count > 1").isEmpty()
     assert study.graph.join(study.links, ["src", "tgt", "edg", "sxs", "sxt", "weight"], "left_anti").isEmpty()
