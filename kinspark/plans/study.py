@@ -71,8 +71,7 @@ class Study:
 
     @cached_property
     def master(self) -> DataFrame:
-        """Laid out by census year, so that a base population reads only its years."""
-        return self.stage.save("master", self.build_master(), partition_by=["cenyear"])
+        return self.stage.save("master", self.build_master())
 
     def build_master(self) -> DataFrame:
         return people.master_census(self.extracts)
@@ -156,7 +155,7 @@ class Study:
 
     def write_tables(self, folder: str) -> None:
         """Replace the result tables in ``folder``, laid out by the keys they are looked up by."""
-        replace_table(self.master, f"{folder}/master", partition_by=["cenyear"])
+        replace_table(self.master, f"{folder}/master")
         for name, table, order in (
             ("links", self.links, ["src", "edg", "tgt"]),
             ("adults", self.adults, ["hik"]),
