@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from kinspark.llm import quality_rules, source_mixing
+from kinspark.llm import best_fit_packing, language_id, quality_rules, source_mixing, warc
 
 QUERIES = {
     "op2_source_mixing": source_mixing.query,
+    "op5_language_id": language_id.query,
+    "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -130,21 +130,26 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ).drop("s")
     times = schedule(spark, targets).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     has = F.col("size") > 0
-    # The first ``longer`` blocks hold short + 1 words, the others ``short``.
+    # Block b starts at word b * short + floor(b * rest): equal blocks but for one word, spread evenly.
     runs = runs.withColumn("short", F.when(has, F.expr("source_size div blocks")))
-    runs = runs.withColumn("longer", F.when(has, F.expr("source_size % blocks")))
+    runs = runs.withColumn("rest", F.when(has, F.expr("(source_size % blocks) / blocks")))
+
+    def start(block):
+        return block * F.col("short") + F.floor(block * F.col("rest"))
 
     def block_of(word: str):
-        return F.expr(
-            f"IF({word} < longer * (short + 1), {word} div (short + 1), longer + ({word} - longer * (short + 1)) div short)"
-        )
+        near = F.floor(F.col(word) / (F.col("short") + F.col("rest")))
+        word = F.col(word)
+        return near + (start(near + 1) <= word).cast("long") - (start(near) > word).cast("long")
 
     runs = runs.withColumn("last", F.col("first") + F.col("size") - 1)
-    runs = runs.withColumn("from", F.when(has, block_of("first"))).withColumn("to", F.when(has, block_of("last")))
+    runs = runs.withColumn("from", F.when(has, block_of("first")))
+    runs = runs.withColumn("to", F.when(has, F.least(block_of("last"), F.col("blocks") - 1)))
     pieces = runs.select("*", F.explode_outer(F.when(has, F.sequence("from", "to"))).alias("block"))
-    start = F.col("block") * F.col("short") + F.least("block", "longer")
-    end = start + F.col("short") + (F.col("block") < F.col("longer")).cast("int")
-    pieces = pieces.withColumn("words", F.least(end, F.col("last") + 1) - F.greatest(start, F.col("first")))
+    final = F.col("block") + 1 == F.col("blocks")
+    end = F.when(final, F.col("source_size")).otherwise(start(F.col("block") + 1))
+    begin = start(F.col("block"))
+    pieces = pieces.withColumn("words", F.least(end, F.col("last") + 1) - F.greatest(begin, F.col("first")))
     times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
     taken = pieces.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     keys = ["doc_id", "source", "size", "source_size", "target", "first"]
