@@ -32,3 +32,29 @@ def n_words(text: str = "text") -> Column:
 
 def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-rows // per_partition))
+
+
+def components(edges: DataFrame, stage) -> DataFrame:
+    """(u, v) -> (node, label): every node of an edge and the smallest node it is connected with.
+
+    Alternates large and small stars, each a grouped minimum and a join; every step is a stored table.
+    """
+    u, v = F.col("u"), F.col("v")
+    edges = stage.save("edges", edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
+        lowest = both.groupBy("u").agg(F.least(u, F.min("v")).alias("m"))
+        large = both.join(lowest, "u").filter(v > u).select(v.alias("u"), F.col("m").alias("v"))
+        large = stage.save("large", large.distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
+        edges = stage.save("small", small.filter(u != v).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(u.alias("node"), v.alias("label")).unionByName(
+        edges.select(v.alias("node"), v.alias("label")).distinct()
+    )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kinspark.llm import best_fit_packing, language_id, quality_rules, source_mixing, warc
+from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_rules, source_mixing, top_k_search, warc
 
 QUERIES = {
     "op2_source_mixing": source_mixing.query,
+    "op4_top_k_search": top_k_search.query,
     "op5_language_id": language_id.query,
+    "op6_ngram_jaccard": ngram_jaccard.query,
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_warc": warc.query,
