@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_rules, source_mixing, top_k_search, warc
+from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_rules, source_mixing, suffix_dedup, top_k_search, warc
 
 QUERIES = {
     "op2_source_mixing": source_mixing.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_top_k_search": top_k_search.query,
     "op5_language_id": language_id.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
