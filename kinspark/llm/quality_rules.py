@@ -76,11 +76,11 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, dict]:
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
     totals = (
         character_classes(df.withColumn("n", F.size(words())), "text")
-        .groupBy("lang")
-        .agg(*sums, F.sum("n").alias("words"), F.count(F.lit(1)).alias("docs"))
+        .rollup("lang")
+        .agg(*sums, F.sum("n").alias("words"), F.count(F.lit(1)).alias("docs"), F.grouping("lang").alias("all"))
     )
-    rows = totals.orderBy(F.desc("docs"), F.asc_nulls_last("lang")).limit(MAX_LANGUAGES + 1).collect()
-    overall = totals.agg(*[F.sum(f"c{i}") for i in range(CLASSES)], F.sum("words")).first()
+    rows = totals.orderBy(F.desc("all"), F.desc("docs"), F.asc_nulls_last("lang")).limit(MAX_LANGUAGES + 2).collect()
+    overall, rows = rows[:1], rows[1:]
 
     known = [r.lang for r in rows if r.lang is not None and r.lang != ALL][:MAX_LANGUAGES]
     short = F.filter(words(), lambda w: F.length(w) <= rules.common_word_chars)
@@ -108,7 +108,8 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, dict]:
         }
 
     made = {r.lang: reference(list(r)[1 : 1 + CLASSES], r["words"], r.lang) for r in rows if r.lang in known}
-    made[ALL] = reference(list(overall)[:CLASSES], overall[CLASSES], ALL)
+    for r in overall:
+        made[ALL] = reference(list(r)[1 : 1 + CLASSES], r["words"], ALL)
     return made
 
 
