@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_rules, source_mixing, suffix_dedup, top_k_search, warc
+from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_classifier, quality_rules, source_mixing, suffix_dedup, top_k_search, warc
 
 QUERIES = {
     "op2_source_mixing": source_mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_top_k_search": top_k_search.query,
     "op5_language_id": language_id.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_warc": warc.query,
