@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_classifier, quality_rules, source_mixing, suffix_dedup, top_k_search, warc
+from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup, top_k_search, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_source_mixing": source_mixing.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_top_k_search": top_k_search.query,
