@@ -32,7 +32,7 @@ K = 20
 QUERY_STEP = 20
 SCALE = 64
 GROUPS = 2
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 #: Queries scored at a time inside a node.
 QUERY_ROWS = 128
 LONG = np.iinfo(np.int64)
@@ -102,14 +102,15 @@ def queries_of(made: DataFrame, width: int, step: int) -> DataFrame:
     return made.mapInArrow(chosen, "q_block int, q_places binary, q_ids binary, q_data binary")
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of all rows of a with all rows of b, exact."""
+def scoring(a: np.ndarray, b: np.ndarray):
+    """A function (low, high) -> exact inner products of rows low to high - 1 of a with all rows of b."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if bound < 2**53:
         kind = np.float32 if bound < 2**24 else np.float64
-        return a.astype(kind) @ b.astype(kind).T
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, LONG.min, LONG.max).astype(np.int64)
+        left, right = a.astype(kind), np.ascontiguousarray(b.astype(kind).T)
+        return lambda low, high: left[low:high] @ right
+    left, right = a.astype(object), b.astype(object).T
+    return lambda low, high: np.clip(left[low:high] @ right, LONG.min, LONG.max).astype(np.int64)
 
 
 def row_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,8 +137,9 @@ def lists(pairs: DataFrame, width: int, k: int) -> DataFrame:
                 q = numbers(columns["q_data"][i]).reshape(-1, width)[:, part]
                 rows = numbers(columns["data"][i]).reshape(-1, width)[:, part]
                 own, places = columns["q_block"][i] == columns["block"][i], numbers(columns["q_places"][i])
+                score = scoring(q, rows)
                 for at in range(0, len(q), QUERY_ROWS):
-                    scores = products(q[at : at + QUERY_ROWS], rows)
+                    scores = score(at, at + QUERY_ROWS)
                     some = min(k + own, scores.shape[1])
                     best = np.argpartition(-scores, some - 1, axis=1)[:, :some]
                     values = np.take_along_axis(scores, best, axis=1).ravel().astype(np.int64)
@@ -168,10 +170,14 @@ def collected(pairs: DataFrame, width: int) -> DataFrame:
                 q = numbers(columns["q_data"][i]).reshape(-1, width)[:, part]
                 rows = numbers(columns["data"][i]).reshape(-1, width)[:, part]
                 places, known = numbers(columns["q_places"][i]), {c["q_place"]: c["cutoff"] for c in columns["cutoffs"][i] or ()}
-                cutoffs = np.array([known.get(int(p), LONG.min) for p in places], dtype=float)
+                # Scores are whole numbers: at least cutoff / GROUPS is at least its ceiling.
+                cutoffs = np.array([-(-known.get(int(p), LONG.min) // GROUPS) for p in places], dtype=np.int64)
+                score = scoring(q, rows)
                 for at in range(0, len(q), QUERY_ROWS):
-                    scores = products(q[at : at + QUERY_ROWS], rows)
-                    query, place = np.nonzero(scores * float(GROUPS) >= cutoffs[at : at + QUERY_ROWS, None])
+                    scores = score(at, at + QUERY_ROWS)
+                    low = cutoffs[at : at + QUERY_ROWS, None]
+                    low = low if scores.dtype == np.int64 else low.astype(scores.dtype)
+                    query, place = np.nonzero(scores >= low)
                     query = places[at : at + QUERY_ROWS][query]
                     if columns["q_block"][i] == columns["block"][i]:
                         query, place = query[other := query != place], place[other]
@@ -195,9 +201,11 @@ def resolved(entries: DataFrame, made: DataFrame, queries: DataFrame, width: int
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names if n not in "qc"}
             for i in range(batch.num_rows):
-                pair = np.unique(np.stack([columns["q"][i], columns["c"][i]], axis=1), axis=0)
+                q, c = (batch.column(n)[i].values.to_numpy().astype(np.int64) for n in "qc")
+                pair = np.unique(q << 32 | c)
+                pair = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
                 places, q_ids = numbers(columns["q_places"][i]), numbers(columns["q_ids"][i])
                 ids, data = numbers(columns["ids"][i]), numbers(columns["data"][i]).reshape(-1, width)
                 at = np.searchsorted(places, pair[:, 0])
