@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-rows // per_partition))
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are stored: it does so once the JVM has
+    collected their plans, which on an idle driver may be after the end of the job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, stage) -> DataFrame:
     """(u, v) -> (node, label): every node of an edge and the smallest node it is connected with.
 

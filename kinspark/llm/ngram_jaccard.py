@@ -16,6 +16,8 @@ remaining shingles in the partner's sorted set.
    meets all classes of other components. All pairs that share enough short lists are probed, so no link
    between components is missed, while a group of copies, already one component, makes no pairs.
 
+Shingles are compared by 64-bit hashes in lists and 40-bit hashes in probes, sets by 64-bit hashes.
+
 Null and empty texts have no set and link with nothing. A component_id is the smallest id in the component,
 ids that are null aside; repeated rows are in one component. Only the id and text columns are read.
 """
@@ -29,18 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import components, documents
+from kinspark.llm.common import components, documents, settle
 from kinspark.llm.shingles import Words, distinct, mix, slices
 from kinspark.sources.stage import Stage
 
 SIZE = 3
 PERCENT = 90
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 #: Bucket counts are shipped in rows of so many buckets.
 CHUNK = 4096
 #: Classes of a list that are paired with their neighbours in one task.
 STRETCH = 500
-ROUNDS = 2
+ROUNDS = 3
+#: Bits of the parity sketch of a set.
+SKETCH = 512
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -56,23 +60,48 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """128 bits that stand for a set."""
-    out = np.zeros((len(offsets) - 1, 2), dtype=np.uint64)
-    for k, salt in enumerate((0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)):
-        sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt)))]
-        out[:, k] = mix(sums[offsets[1:]] - sums[offsets[:-1]])
-    return [row.tobytes() for row in out]
+def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a set."""
+    sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))]
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
+def parities(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """SKETCH bits per set: whether the number of its shingles with this hash remainder is odd.
+
+    The bits in which two sets differ are no more than the shingles in which they differ.
+    """
+    sets = len(offsets) - 1
+    bits = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = np.zeros(sets * SKETCH, dtype=np.uint8)
+    for at in range(0, sets, 2048):  # a bounded table of counts at a time
+        part = slice(offsets[at], offsets[min(at + 2048, sets)])
+        text = np.repeat(np.arange(min(2048, sets - at)), np.diff(offsets[at : at + 2049]))
+        counts = np.bincount(text * SKETCH + bits[part], minlength=min(2048, sets - at) * SKETCH)
+        odd[at * SKETCH : at * SKETCH + len(counts)] = counts & 1
+    numbers = np.packbits(odd).view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype="i4") * (SKETCH // 64)), pa.array(numbers))
+
+
+def written(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes: all of the first 32, then all of the other 8."""
+    return (hashes >> np.uint64(32)).astype("<u4").tobytes() + ((hashes >> np.uint64(24)) & np.uint64(255)).astype("u1").tobytes()
+
+
+def read(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    high, low = np.frombuffer(data, "<u4", n), np.frombuffer(data, "u1", n, 4 * n)
+    return (high.astype(np.uint64) << np.uint64(8)) | low
 
 
 def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:
     """The length class (log2) of every bucket of shingles, over all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
         for batch in batches:
             for part in slices(batch, 0):
-                counts += np.bincount(bucket(sets_of(part, 0, size)[0]), minlength=len(counts))
+                np.add.at(counts, bucket(sets_of(part, 0, size)[0]), 1)
         rows = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(rows.any(axis=1))
         if len(some):
@@ -85,7 +114,7 @@ def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:
         level = np.where(total > 0, np.log2(np.maximum(total, 1)).astype(np.int8), 0).astype(np.int8)
         return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "levels": pa.array([level.tobytes()], type=pa.binary())})
 
-    counts = docs.select("text").mapInArrow(counted, "chunk int, counts array<long>")
+    counts = docs.select("text").mapInArrow(counted, "chunk int, counts array<int>")
     levels = counts.groupBy("chunk").applyInArrow(added, "chunk int, levels binary")
     out = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, dtype=np.int8).reshape(-1, CHUNK)
     for r in levels.collect():  # one byte a bucket, whatever the input
@@ -93,16 +122,20 @@ def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:
     return out.ravel()
 
 
+def text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, sig, n, and the class's short lists: (length class, shingle) in order."""
+    """doc_id, text_hash, cls, n, and the short lists of the set: (length class, shingle) in order."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     kind = docs.schema["doc_id"].dataType
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
-            for part in slices(batch, 1):
-                hashes, offsets = sets_of(part, 1, size)
+            for part in slices(batch, 2):
+                hashes, offsets = sets_of(part, 2, size)
                 n = np.diff(offsets)
                 text = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((hashes, levels[bucket(hashes)], text))
@@ -115,32 +148,31 @@ def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataF
                     [pa.array(levels[bucket(kept)]), pa.array(kept.view(np.int64))], names=["level", "token"]
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(signatures(hashes, offsets), type=pa.binary()), pa.array(n.astype("i8")),
-                     pa.ListArray.from_arrays(ends, items)],
-                    names=["doc_id", "sig", "n", "short"],
+                    [part.column(0), part.column(1), pa.array(signatures(hashes, offsets)), pa.array(n.astype("i8")),
+                     pa.ListArray.from_arrays(ends, items), parities(hashes, offsets)],
+                    names=["doc_id", "text_hash", "cls", "n", "short", "bits"],
                 )
 
-    schema = f"doc_id {kind.simpleString()}, sig binary, n long, short array<struct<level: tinyint, token: long>>"
-    return docs.select("doc_id", "text").mapInArrow(headed, schema)
+    schema = f"doc_id {kind.simpleString()}, text_hash long, cls long, n long, short array<struct<level: tinyint, token: long>>, bits array<long>"
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(headed, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sig, tokens (sorted 64-bit numbers) of the wanted classes (doc_id, sig)."""
+    """cls, tokens (sorted, see ``written``) of the wanted classes, each named by one id of its documents."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 hashes, offsets = sets_of(part, 0, size)
-                rows = [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                rows = [written(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signatures(hashes, offsets), type=pa.binary()), pa.array(rows, type=pa.binary())],
-                    names=["sig", "tokens"],
+                    [pa.array(signatures(hashes, offsets)), pa.array(rows, type=pa.binary())], names=["cls", "tokens"]
                 )
 
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    ids = wanted.select(F.col("doc_id").alias("wanted_id"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(made, "sig binary, tokens binary")
-    return sets.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    sets = texts.select("text").mapInArrow(made, "cls long, tokens binary")
+    return sets.dropDuplicates(["cls"])
 
 
 def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,88 +182,139 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
+                a, b = read(a.as_py()), read(b.as_py())
                 a, b = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.searchsorted(b, a)
                 common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
 
-    df = pairs.join(sets.select(F.col("sig").alias("u"), F.col("tokens").alias("a")), "u")
-    df = df.join(sets.select(F.col("sig").alias("v"), F.col("tokens").alias("b")), "v")
-    return df.select("u", "v", "a", "b").mapInArrow(linked, "u binary, v binary")
+    df = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
+    df = df.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
+    return df.select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
+
+
+def needed(a: str, b: str, percent: int) -> str:
+    """Shingles that sets of a and b must have in common to link."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
 
+def short_common(a: str, b: str, percent: int) -> str:
+    """Short lists that sets of a and b must share to link."""
+    return f"({needed(a, b, percent)} - ({percent} * greatest({a}, {b}) + 99) div 100 + 1)"
 
-def enough(a: str, b: str, percent: int) -> F.Column:
-    """Whether rows a and b of one list may link: sizes, this being their first common list, and T of them."""
-    p = percent
-    least = f"(({p} * ({a}.n + {b}.n) + {99 + p}) div {100 + p} - ({p} * greatest({a}.n, {b}.n) + 99) div 100 + 1)"
-    both = f"array_intersect({a}.short, {b}.short)"
-    return F.expr(
-        f"100 * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) AND {both}[0] = {a}.token AND size({both}) >= {least}"
-    )
+
+def sizes(a: str, b: str, percent: int) -> str:
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+
+
+def differ(a: str, b: str) -> F.Column:
+    """Shingles in which two sets differ, at least."""
+    return F.expr(f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+
+
+def possible(a: str, b: str, percent: int) -> F.Column:
+    """Whether sizes and sketches leave it open that two sets link."""
+    most = f"{a}.n + {b}.n - 2 * {needed(f'{a}.n', f'{b}.n', percent)}"
+    return F.expr(sizes(a, b, percent)) & (differ(a, b) <= F.expr(most))
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n) of every row, and (node, label) of the classes that link with another."""
+    """(doc_id, text_hash, cls, n) of every row, and (node, label) of the classes that link with another."""
     stage = Stage(docs.sparkSession)
     levels = list_lengths(docs, size, stage)
     head = stage.save("heads", heads(docs, levels, size, percent))
-    named = head.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("short").alias("short"))
-    posts = stage.save("posts", named.select("sig", "doc_id", "n", F.explode("short").alias("post")).select("sig", "doc_id", "n", "post.*"))
-    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-    posts = stage.save("shared", posts.join(lists, "token"))
-    # The short lists that a class shares with any other, in order.
-    short = posts.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("level", "token"))).alias("s"))
-    posts = stage.save("lists", posts.join(short.select("sig", F.col("s.token").alias("short")), "sig"))
-    sets = stage.save("sets", whole_sets(docs, posts.select("sig", "doc_id").distinct(), size))
-    none = posts.select(F.col("sig").alias("u"), F.col("sig").alias("v")).limit(0)
-    links, labels = none, None
+    posts = head.select("doc_id", "cls", "n", F.explode("short").alias("post")).select("doc_id", "cls", "n", "post.*")
+    # Lists of one class only are of no use; copies of a set are one class.
+    ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
+    ends = stage.save("shared", ends.select("token"))  # stored, so that the join with it can split a frequent shingle
+    posts = posts.select("cls", "token", "n").join(ends, "token").distinct()
+    posts = stage.save("lists", posts)
+    some = posts.select("cls").distinct()
+    named = head.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    named = stage.save("named", named.join(some, "cls", "left_semi"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = stage.save_bucketed("sets", whole_sets(docs, named, size), "cls", buckets)
+    settle(docs.sparkSession)
+    lengths = stage.save("lengths", posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")))
+    posts = stage.save("posts", posts.join(lengths, "token"))
+    settle(docs.sparkSession)
+    links = posts.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    labels = None
     for k in range(ROUNDS):
-        members = labelled(posts, labels)
-        stretch = F.pmod(F.xxhash64("sig", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("length") / STRETCH)))
-        near = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("sig", "token", F.lit(k)), "sig")
-        row = F.struct("sig", "n", "short", "token", "label")
-        pairs = members.withColumn("stretch", stretch).select(row.alias("a"), F.lag(row).over(near).alias("b"))
-        pairs = pairs.filter(F.col("b").isNotNull()).filter(F.expr("a.label <> b.label"))
-        first = F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-        share = F.size(F.array_intersect("a.short", "b.short")) / F.greatest(F.size("a.short"), F.size("b.short"))
-        pairs = pairs.filter(first).select(F.col("a.sig").alias("u"), F.struct(share.alias("share"), F.col("b.sig").alias("v")).alias("best"))
-        best = pairs.groupBy("u").agg(F.max("best").alias("best")).select("u", F.col("best.v").alias("v"))
+        stretch = F.pmod(F.xxhash64("cls", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("length") / STRETCH)))
+        near = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
+        row = F.struct("cls", "n", "label")
+        pairs = labelled(posts, labels).withColumn("stretch", stretch)
+        pairs = pairs.select(row.alias("a"), F.lag(row).over(near).alias("b")).filter("a.label <> b.label")
+        pairs = pairs.filter(F.expr(sizes("a", "b", percent))).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
+        a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+        pairs = pairs.join(a, "u").join(b, "v").filter(possible("a", "b", percent))
+        # The fewer bits differ, the more promising the pair.
+        near = F.struct((differ("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("share"), "v")
+        best = pairs.groupBy("u").agg(F.min(near).alias("best")).select("u", F.col("best.v").alias("v"))
         links = links.unionByName(stage.save("links", probed(best, sets, percent)))
-        labels = components(links, stage)
-        labels = stage.save("labels", labels)
-    members = labelled(posts, labels)
+        labels = stage.save("labels", components(links, stage))
+        settle(docs.sparkSession)
     # Lists with one component have nothing to add; in the others, all but the largest component ask.
+    members = labelled(posts, labels)
     counts = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    members = stage.save("mixed", members.join(mixed.select("token", F.col("top.label").alias("top")), "token"))
+    mixed = stage.save("tops", mixed.select("token", F.col("top.label").alias("top")))
+    members = members.join(mixed, "token").select("cls", "n", "token", "label", "top")
+    members = stage.save("mixed", members.join(named.select("cls", "bits"), "cls"))
+    settle(docs.sparkSession)
     a, b = members.filter("label <> top").alias("a"), members.alias("b")
-    fresh = F.expr("a.label <> b.label AND (b.label = b.top OR a.sig < b.sig)")
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).filter(fresh & enough("a", "b", percent))
-    pairs = pairs.select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v"))
-    links = links.unionByName(stage.save("links", probed(pairs, sets, percent)))
-    return head.select("doc_id", "sig", "n"), stage.save("labels", components(links, stage))
+    fresh = F.expr("a.label <> b.label AND (b.label = b.top OR a.cls < b.cls)")
+    pairs = a.join(b, F.col("a.token") == F.col("b.token")).filter(fresh & possible("a", "b", percent))
+    # A pair that may link meets in all the short lists it shares, so its meetings are counted.
+    met = pairs.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).count()
+    met = met.filter(F.expr(f"count >= {short_common('m', 'n', percent)}")).select("u", "v")
+    links = links.unionByName(stage.save("links", probed(met, sets, percent)))
+    labels = stage.save("labels", components(links, stage))
+    settle(docs.sparkSession)
+    return head.drop("short", "bits"), labels
 
 
 def labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return posts.withColumn("label", F.col("sig"))
-    named = labels.select(F.col("node").alias("sig"), F.col("label").alias("found"))
-    return posts.join(named, "sig", "left").withColumn("label", F.coalesce("found", "sig")).drop("found")
+        return posts.withColumn("label", F.col("cls"))
+    named = labels.select(F.col("node").alias("cls"), F.col("label").alias("found"))
+    return posts.join(named, "cls", "left").withColumn("label", F.coalesce("found", "cls")).drop("found")
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, label: rows of one label are connected; a set without partners has its copies."""
+    rows, labels = classes(docs, size, percent)
+    rows = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
+    return rows.select("doc_id", "text_hash", "n", F.coalesce("label", "cls").alias("label"))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
-    rows, labels = classes(docs, size, percent)
-    rows = rows.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
-    # A set without partners is a component of its own copies; an empty one is nothing's copy.
-    rows = rows.withColumn("label", F.coalesce("label", "sig"))
+    rows = grouped(docs, size, percent)
     least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "label", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row of each group of linked documents, that with the smallest id (null ids last); columns unchanged.
+
+    Of repeated rows one stays; rows without a set are linked with nothing and all stay.
+    """
+    rows = grouped(docs, size, percent)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    kept = rows.filter("n > 0").groupBy("label").agg(one).select("one.doc_id", "one.text_hash", F.lit(True).alias("single"))
+    kept = kept.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.lit(False).alias("single")).distinct())
+    kept = kept.toDF("_id", "_hash", "_single")
+    df = docs.withColumn("_text_hash", text_hash())
+    df = df.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    place = F.row_number().over(Window.partitionBy("_text_hash", "doc_id").orderBy(F.lit(1)))
+    df = df.withColumn("_place", place).filter("NOT _single OR _place = 1")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

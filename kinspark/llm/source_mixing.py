@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import documents, n_words
+from kinspark.llm.common import documents, n_words, words
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -119,11 +119,12 @@ def document_runs(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``."""
+    """doc_id, text_hash, source, size, source_size, target, taken: one row per row of ``docs``."""
     spark = docs.sparkSession
-    sizes = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words("text").alias("size"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    sizes = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words("text").alias("size"), text_hash.alias("text_hash"))
     # Rows of one id differ by text at most; equal rows may swap places without changing any result.
-    sizes = sizes.withColumn("row_id", F.col("size"))
+    sizes = sizes.withColumn("row_id", F.col("text_hash"))
     targets = source_targets(sizes, block_words)
     runs = document_runs(sizes).join(
         targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
@@ -152,7 +153,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     pieces = pieces.withColumn("words", F.least(end, F.col("last") + 1) - F.greatest(begin, F.col("first")))
     times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
     taken = pieces.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    keys = ["doc_id", "source", "size", "source_size", "target", "first"]
+    keys = ["doc_id", "text_hash", "source", "size", "source_size", "target", "first"]
     # Documents without words share their place with the next one, so copies of them are told apart by a count.
     taken = taken.groupBy(*keys).agg(
         F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).cast("long").alias("taken"),
@@ -162,5 +163,27 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return taken.select(*keys, "taken", copies.alias("_")).drop("_")
 
 
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: a row per time that a document is taken, columns unchanged (``n_chars`` follows the text).
+
+    A document at the end of its source's last pass is taken in part, with as many words from its start.
+    """
+    taken = mix(docs, block_words).filter("taken > 0")
+    row = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(*by))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), row("taken").alias("_n"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    df = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    df = df.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1))))
+    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_n"))
+    df = df.join(taken, same)
+    df = df.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
+    part = F.array_join(F.slice(words("text"), F.lit(1), F.greatest(F.lit(1), left.cast("int"))), " ")
+    df = df.withColumn("_text", F.when(left >= F.col("_size"), F.col("text")).otherwise(part))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import documents
+from kinspark.llm.common import documents, settle
 from kinspark.llm.shingles import mix, powers
 from kinspark.sources.stage import Stage
 
@@ -219,10 +219,13 @@ def one_of(*columns: str):
 def spans_of(keyed: DataFrame, distinct_texts, length: int, stage: Stage) -> DataFrame:
     """key, text, spans: the texts with a repeat, once each, and the strings that repeat, as joined-up starts."""
     found = stage.save("triggers", triggers(keyed, length))
-    cores = found.groupBy("core").agg(*one_of("key", "t")).filter("least < greatest").select("core")
+    # Stored, so that the joins with it can split a frequent core.
+    cores = stage.save("cores", found.groupBy("core").agg(*one_of("key", "t")).filter("least < greatest").select("core"))
     some = found.join(cores, "core").groupBy("key").agg(F.collect_set("t").alias("ts"))
     texts = stage.save("texts", distinct_texts.join(some, "key"))
 
+    settle(texts.sparkSession)
+
     around = stage.save("contexts", contexts(texts, length))
     per_context = around.groupBy("context").agg(*one_of("key", "t"), F.min(F.struct("key", "t")).alias("one"), F.min("core").alias("core"))
     per_context = stage.save("per_context", per_context.withColumn("alone", F.col("least") == F.col("greatest")).drop("least", "greatest"))
@@ -231,9 +234,11 @@ def spans_of(keyed: DataFrame, distinct_texts, length: int, stage: Stage) -> Dat
 
     # Cores with a context of its own: there, one trigger of every context is looked at closely.
     open_cores = per_context.groupBy("core").agg(F.max("alone").alias("any"), F.count(F.lit(1)).alias("n")).filter("any AND n > 1")
+    open_cores = stage.save("open_cores", open_cores)
     close = per_context.join(open_cores.select("core"), "core").select("one.key", "one.t")
     close = close.groupBy("key").agg(F.collect_set("t").alias("ts"))
     parts = stage.save("stretches", stretches(texts.drop("ts").join(close, "key"), length))
+    settle(texts.sparkSession)
     ends = parts.groupBy("shared", "head", "tail").agg(
         *one_of("key", "t"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("key", "t", "j")).alias("one")
     )
@@ -243,11 +248,13 @@ def spans_of(keyed: DataFrame, distinct_texts, length: int, stage: Stage) -> Dat
     equal = equal.select("key", start("high").alias("low"), (start("low") + length).alias("high"))
 
     met = ends.groupBy("shared").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).filter("n > 1 AND any")
+    met = stage.save("met", met)
     places = ends.join(met.select("shared"), "shared").withColumn("x", F.explode(F.sequence("low", "high")))
     before = F.expr("substring(head, length(head) - x + 1, x)")
     after = F.expr(f"substring(tail, 1, {STRETCH - 1} - x)")
     places = places.select(F.xxhash64("shared", "x", before, after).alias("string"), "one", "alone", "x")
-    twice = places.groupBy("string").agg(*one_of("one")).filter("least < greatest").select("string")
+    places = stage.save("places", places)
+    twice = stage.save("twice", places.groupBy("string").agg(*one_of("one")).filter("least < greatest").select("string"))
     single = places.filter("alone").join(twice, "string")
     single = single.select(F.col("one.key").alias("key"), (F.col("one.t") - STRETCH * F.col("one.j") - F.col("x")).alias("low"))
     single = single.select("key", "low", (F.col("low") + length).alias("high"))

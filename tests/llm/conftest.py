@@ -1,0 +1,48 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long"
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+def documents(seed: int = 1, count: int = 60) -> list[tuple]:
+    """Texts with copies, near copies, shared passages, nulls, empty and odd ones, and repeated rows."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    passage = " ".join(r.choice(vocabulary) for _ in range(70))
+    texts: list[str | None] = []
+    for i in range(count):
+        text = " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 12, 60, 130, 260])))
+        if i % 6 == 1 and texts:
+            text = r.choice(texts) or ""
+        elif i % 6 == 2 and texts and texts[-1]:
+            own = texts[-1].split(" ")
+            own[len(own) // 2] = "Zz"
+            text = " ".join(own)
+        elif i % 6 == 3:
+            text += "\n" + passage + "\t" + " ".join(r.choice(vocabulary) for _ in range(30))
+        texts.append(text)
+    texts[4:10] = [None, "", " \n\t ", "one", "ÀÉ ß 日本語", "a b a b a b a b a b a b a b"]
+    rows = [
+        (i if i != 11 else None, t, [None, "en", "de"][i % 3], [None, "x", "x", "y"][i % 4], len(t or ""), "clash", i)
+        for i, t in enumerate(texts)
+    ]
+    return rows + [rows[20], rows[20], rows[4]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
