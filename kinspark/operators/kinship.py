@@ -39,14 +39,17 @@ def descent_links(master: DataFrame) -> DataFrame:
     )
 
 
-def marriage_links(master: DataFrame) -> DataFrame:
-    """One husband -> wife edge per couple, with each person's own sex across all records."""
+def marriage_links(master: DataFrame, sexes: DataFrame | None = None) -> DataFrame:
+    """One husband -> wife edge per couple, with each person's own sex across all records.
+
+    ``sexes`` is the ``person_sexes`` table of ``master`` where it already exists.
+    """
     linked = master.filter(F.col("hik").isNotNull() & F.col("famcode").isNotNull())
     husbands = linked.filter(F.col("rolecode") == "1").select("famcode", F.col("hik").alias("src"))
     wives = linked.filter(F.col("rolecode") == "2").select("famcode", F.col("hik").alias("tgt"))
     couples = husbands.distinct().join(wives.distinct(), "famcode").filter("src <> tgt")
     couples = couples.select("src", "tgt").distinct()
-    sexes = person_sexes(master)
+    sexes = person_sexes(master) if sexes is None else sexes
     return (
         couples.join(sexes.select(F.col("hik").alias("src"), F.col("sex").alias("sxs")), "src")
         .join(sexes.select(F.col("hik").alias("tgt"), F.col("sex").alias("sxt")), "tgt")
@@ -55,9 +58,9 @@ def marriage_links(master: DataFrame) -> DataFrame:
     )
 
 
-def kinship_links(master: DataFrame) -> DataFrame:
+def kinship_links(master: DataFrame, sexes: DataFrame | None = None) -> DataFrame:
     """Descent and marriage together. They can only coincide if a parent's sex is coded '0'."""
-    return descent_links(master).unionByName(marriage_links(master)).distinct()
+    return descent_links(master).unionByName(marriage_links(master, sexes)).distinct()
 
 
 def marriages_with_zero_coded(descent: DataFrame, marriages: DataFrame) -> DataFrame:

@@ -32,9 +32,12 @@ def resident_ids(
 
 
 def with_slaveholding(people: DataFrame, slaveholders: DataFrame) -> DataFrame:
-    """Attach the slaveholder category, '0' where a person is not listed."""
+    """Attach the slaveholder category, '0' where a person is not listed or listed without one.
+
+    Of several rows of a person the lowest category counts; the default comes after that.
+    """
+    listed = slaveholders.groupBy("hik").agg(F.min("slvhcat").alias("slvhcat"))
     category = F.coalesce("slvhcat", F.lit(NO_SLAVES))
-    listed = slaveholders.groupBy("hik").agg(F.min(category).alias("slvhcat"))
     return people.join(listed, "hik", "left").withColumn("slvhcat", category)
 
 

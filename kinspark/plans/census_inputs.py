@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 
 from kinspark.sources.schemas import CENSUS_WIDTHS
 
+# Household serials are the order key in base 36, eight digits: one to one up to 36^8, an error beyond.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SERIAL = "concat({})".format(
+    ", ".join(
+        f"substr('{DIGITS}', 1 + cast(cast(floor(o_orderkey / {36**k}) as bigint) % 36 as int), 1)"
+        for k in reversed(range(8))
+    )
+)
+SERIAL = f"case when o_orderkey between 0 and {36**8 - 1} then {SERIAL}" \
+    " else cast(cast(concat('no serial for order ', cast(o_orderkey as string)) as bigint) as string) end"
+
 HOUSEHOLD = {
     "h": "o_orderkey",
+    "sc": SERIAL,
     "g": "o_orderkey % 8",
     "f": "cast(floor(o_orderkey / 8) as bigint)",
     "k": "o_orderkey % 37",
@@ -31,7 +43,7 @@ AGE = "case when i in (1, 2, 6) then 40 else 10 end"
 
 PERSON = {
     "year": "cast(yr as string)",
-    "serial": "lpad(cast(h as string), 8, '0')",
+    "serial": "sc",
     "pernum": "case when k = 7 and i = 6 then '0102' else lpad(cast(i as string), 4, '0') end",
     "sploc": "case when i = 1 then case when k in (1, 3) then '00' else '02' end"
     " when i = 2 then case when k = 0 then '00' else '01' end"
@@ -54,7 +66,7 @@ PERSON = {
     "steppop": "case when k = 10 and i > 2 then '1' else '0' end",
     "stepmom": "case when k = 10 and i in (3, 4) then '1' else '0' end",
     "relate": "case when i = 1 then '01' when i = 2 then '02' else '03' end",
-    "histid": "concat('X', cast(h as string), '-', cast(i as string))",
+    "histid": "concat('X', sc, '-', cast(i as string))",
     "gq": "case when h % 13 = 12 then '4' else cast(1 + h % 2 as string) end",
     "hhtype": "cast(1 + f % 4 as string)",
     "famunit": "lpad(cast(case when i = 6 then 2 else 1 end as string), 2, '0')",
@@ -97,21 +109,17 @@ CODEBOOK_LINE = """case o_orderkey % 5
  else concat('  L', cast(o_orderkey as string), ' P 1-2,7-', cast(8 + o_custkey % 50 as string), ' 12') end"""
 
 EXTRACT_COUNT = 11
+# A total rule: every record has a region.
+REGION = f"coalesce(abs(try_cast(left(countycode, 2) as int)) % {EXTRACT_COUNT}, 0)"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores even when the input file comes as fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw census of all orders: 29 text columns."""
-    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     households = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     households = households.selectExpr(*(f"{sql} as {name}" for name, sql in HOUSEHOLD.items()))
@@ -133,17 +141,12 @@ def counties(census_table: DataFrame) -> DataFrame:
 
 def extracts(extract: DataFrame) -> list[DataFrame]:
     """Eleven regional tables by state; every state lies in two of them, so the stack has copies."""
-    state = F.substring("countycode", 1, 2)
-    regions = [[f"{s:02d}" for s in states] for states in extract_states()]
-    return [extract.filter(state.isin(states)) for states in regions]
+    return [extract.filter(in_region(j)) for j in range(EXTRACT_COUNT)]
 
 
-def extract_states() -> list[list[int]]:
-    """The states (0 to 24) of each regional table."""
-    return [
-        [s for s in range(25) if s % EXTRACT_COUNT in (j, (j + 1) % EXTRACT_COUNT)]
-        for j in range(EXTRACT_COUNT)
-    ]
+def in_region(j: int) -> str:
+    """Whether a record belongs to the j-th regional table. States that are no number count as state 0."""
+    return f"{REGION} in ({j}, {(j + 1) % EXTRACT_COUNT})"
 
 
 def slaveholders(master: DataFrame) -> DataFrame:

@@ -88,10 +88,7 @@ FROM (SELECT * FROM famcount WHERE adults = 2 OR (adults = 1 AND children > 0))
 LEFT JOIN person AS p ON p.famcode = v.famcode"""
 
 _MASTER = " UNION ".join(
-    "(SELECT * FROM extract WHERE hik IS NOT NULL AND left(countycode, 2) IN ("
-    + ", ".join(f"'{s:02d}'" for s in states)
-    + "))"
-    for states in inputs.extract_states()
+    f"(SELECT * FROM extract WHERE hik IS NOT NULL AND {inputs.in_region(j)})" for j in range(inputs.EXTRACT_COUNT)
 )
 
 _FIRSTSEX = """
@@ -303,6 +300,7 @@ def check_sql() -> dict[str, str]:
         ),
         "codebook_parse": _codebook(),
         "fixed_width_load": _with(_fixed_width(), "census"),
+        "codebook_load": _with(_fixed_width(), "census"),
         "distinct_on": _with(
             f"SELECT DISTINCT ON (hik) hik, sex, race, birthyr, bpl, farm FROM master AS p"
             f" ORDER BY hik, {_ATTRIBUTES_ORDER}",

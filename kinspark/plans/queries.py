@@ -39,6 +39,16 @@ def _fixed_width_load(study: FolderStudy) -> DataFrame:
     return codebook.read_fixed_width(study.spark, path, layout)
 
 
+def _codebook_load(study: FolderStudy) -> DataFrame:
+    """The same file, cut by the codebook text that describes it."""
+    layout = codebook.layout_from_widths(CENSUS_WIDTHS)
+    path = study.stage.new_path("census_text")
+    codebook.to_fixed_width(study.census, layout).write.mode("overwrite").text(path)
+    text = study.stage.save("codebook", study.spark.createDataFrame([(x,) for x in codebook.codebook_text(layout)], "value string"))
+    parsed = codebook.layout_from_codebook(codebook.parse_codebook(text))
+    return codebook.read_fixed_width(study.spark, path, parsed)
+
+
 def _walk(study: FolderStudy, direction: str, hops: int) -> DataFrame:
     return lineage.walk_edges(study.descent, study.base, direction, hops, study.stage)
 
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[FolderStudy], DataFrame]] = {
     "zone_dim": _zone_dim,
     "codebook_parse": lambda s: codebook.parse_codebook(census_inputs.codebook_lines(s.spark, s.sf_dir)),
     "fixed_width_load": _fixed_width_load,
+    "codebook_load": _codebook_load,
     "distinct_on": lambda s: people.person_attributes(s.master),
     "unique_persons": lambda s: people.unique_persons(s.master),
     "adult_hiks": lambda s: people.adult_hiks(s.master),
@@ -78,8 +89,8 @@ QUERIES: dict[str, Callable[[FolderStudy], DataFrame]] = {
     "master_census": FolderStudy.build_master,
     "parent_child_pairs": lambda s: kinship.parent_child_pairs(s.master),
     "descent_links": lambda s: kinship.descent_links(s.master),
-    "marriage_links": lambda s: kinship.marriage_links(s.master),
-    "kinship_links": lambda s: kinship.kinship_links(s.master),
+    "marriage_links": lambda s: kinship.marriage_links(s.master, s.sexes),
+    "kinship_links": lambda s: kinship.kinship_links(s.master, s.sexes),
     "base_population": FolderStudy.build_base,
     "base_population_adults": lambda s: population.base_population_adults(
         s.master, s.counties, s.slaveholders, people=s.attributes

@@ -12,7 +12,7 @@ from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
 from kinspark.plans import census_inputs
 from kinspark.sources.stage import Stage
-from kinspark.sources.tables import replace_table, replace_table_ordered
+from kinspark.sources.tables import replace_table_ordered
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,10 @@ class Study:
     def attributes(self) -> DataFrame:
         return self.stage.save("attributes", people.person_attributes(self.master))
 
+    @cached_property
+    def sexes(self) -> DataFrame:
+        return self.stage.save("sexes", people.person_sexes(self.master))
+
     @cached_property
     def adults(self) -> DataFrame:
         return self.stage.save("adults", people.adult_hiks(self.master))
@@ -99,7 +103,7 @@ class Study:
     @cached_property
     def marriages(self) -> DataFrame:
         """Every edge coded '0', apart from the descent edges, so that the walk does not read it."""
-        marriages = kinship.marriage_links(self.master)
+        marriages = kinship.marriage_links(self.master, self.sexes)
         return self.stage.save(
             "marriages", kinship.marriages_with_zero_coded(self._descent, marriages)
         )
@@ -155,8 +159,10 @@ class Study:
 
     def write_tables(self, folder: str) -> None:
         """Replace the result tables in ``folder``, laid out by the keys they are looked up by."""
-        replace_table(self.master, f"{folder}/master")
+        extracts = [(f"extract_{i:02d}", table, ["personcode"]) for i, table in enumerate(self.extracts)]
         for name, table, order in (
+            *extracts,
+            ("master", self.master, ["personcode"]),
             ("links", self.links, ["src", "edg", "tgt"]),
             ("adults", self.adults, ["hik"]),
             ("children", self.children, ["hik"]),
@@ -167,6 +173,17 @@ class Study:
             replace_table_ordered(table, f"{folder}/{name}", order)
 
 
+    def release(self) -> None:
+        """Delete the staged tables; the study is used up."""
+        self.stage.release()
+
+    def __enter__(self) -> Study:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.release()
+
+
 class FolderStudy(Study):
     """The study of the census-shaped inputs derived from one folder of driver tables."""
 
@@ -206,12 +223,30 @@ class FolderStudy(Study):
         return self.stage.save("slaveholders", census_inputs.slaveholders(self.master))
 
 
-_studies: dict[tuple[str, str], FolderStudy] = {}
+_studies: dict[tuple[str, str], tuple[list, FolderStudy]] = {}
+
+
+def versions(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    """What tells whether the input tables are still those a study was made from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for table in ("orders", "customer"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files = path.getFileSystem(conf)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
+    return found
 
 
 def study_of(spark: SparkSession, sf_dir: str) -> FolderStudy:
-    """The study of this folder in this application; its written tables are shared by the queries."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _studies:
-        _studies[key] = FolderStudy(spark, sf_dir.rstrip("/"))
-    return _studies[key]
+    """The study of this folder in this application; its written tables are shared by the queries.
+
+    If the folder's tables have changed since, the old study's tables go and a new one is made.
+    """
+    sf_dir = sf_dir.rstrip("/")
+    key, now = (spark.sparkContext.applicationId, sf_dir), versions(spark, sf_dir)
+    made, study = _studies.get(key, (None, None))
+    if made != now:
+        if study is not None:
+            study.release()
+        _studies[key] = now, (study := FolderStudy(spark, sf_dir))
+    return study

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern of a variable line (name, record basis, column range, length).
 CODEBOOK_PATTERN = r"\s{2}(\w+)\s+([HP])\s+([0-9,-]+)\s+(\d+)"
 CODEBOOK_COLUMNS = ["variable", "basis", "range", "length"]
-MAX_VARIABLES = 10_000
 
 
 @dataclass(frozen=True)
 class Field:
-    """One column of a fixed-width line; ``start`` counts from 1."""
+    """One column of a fixed-width line: the spans (start counting from 1, length) it is put together from."""
 
     name: str
-    start: int
-    length: int
+    spans: tuple[tuple[int, int], ...]
+
+    @property
+    def length(self) -> int:
+        return sum(length for _, length in self.spans)
 
 
 def parse_codebook(lines: DataFrame, pattern: str = CODEBOOK_PATTERN) -> DataFrame:
@@ -33,36 +35,63 @@ def parse_codebook(lines: DataFrame, pattern: str = CODEBOOK_PATTERN) -> DataFra
     return matching.select(*groups)
 
 
+def spans_of(variable: str, ranges: str) -> tuple[tuple[int, int], ...]:
+    """The spans of a column range such as ``7``, ``1-4`` or ``1-2,7-8``."""
+    spans = []
+    for part in ranges.split(","):
+        first, _, last = part.partition("-")
+        last = last or first
+        if not (first.isdigit() and last.isdigit() and 1 <= int(first) <= int(last)):
+            raise ValueError(f"variable {variable}: {ranges!r} is not a list of column ranges")
+        spans.append((int(first), int(last) - int(first) + 1))
+    return tuple(spans)
+
+
 def layout_from_codebook(codebook: DataFrame) -> list[Field]:
-    """The layout on the driver: one entry per output column, so never more than a table can have."""
-    rows = codebook.take(MAX_VARIABLES + 1)
-    if len(rows) > MAX_VARIABLES:
-        raise ValueError(f"codebook holds more than {MAX_VARIABLES} variables")
-    fields = []
-    for row in rows:
-        first, _, last = row["range"].partition("-")
-        if not (first.isdigit() and (last or first).isdigit()):
-            raise ValueError(f"variable {row['variable']}: range {row['range']!r} is not one range")
-        length = int(last or first) - int(first) + 1
-        if length != int(row["length"]):
+    """The layout on the driver: one entry per output column, as many as a table has.
+
+    Household (H) and person (P) variables must lie in columns of their own: where they share columns,
+    lines are of two record types, and cutting every line by both layouts would make up values.
+    """
+    fields: list[Field] = []
+    taken: dict[int, str] = {}
+    for row in codebook.collect():
+        spans = spans_of(row["variable"], row["range"])
+        if sum(length for _, length in spans) != int(row["length"]):
             raise ValueError(f"variable {row['variable']}: range and length disagree")
-        fields.append(Field(row["variable"].lower(), int(first), length))
-    return sorted(fields, key=lambda field: field.start)
+        for column in (c for start, length in spans for c in range(start, start + length)):
+            if column in taken:
+                raise ValueError(f"variables {taken[column]} and {row['variable']} share column {column}")
+            taken[column] = row["variable"]
+        fields.append(Field(row["variable"].lower(), spans))
+    return sorted(fields, key=lambda field: field.spans)
 
 
 def layout_from_widths(widths: dict[str, int]) -> list[Field]:
     """Adjoining fields, in order, from their widths."""
     fields, start = [], 1
     for name, length in widths.items():
-        fields.append(Field(name, start, length))
+        fields.append(Field(name, ((start, length),)))
         start += length
     return fields
 
 
+def codebook_text(layout: Iterable[Field]) -> list[str]:
+    """The variable lines of a codebook that describes the layout (as person variables)."""
+    lines = []
+    for field in layout:
+        ranges = ",".join(f"{start}-{start + length - 1}" for start, length in field.spans)
+        lines.append(f"  {field.name.upper()}  P  {ranges}  {field.length}")
+    return lines
+
+
 def slice_fixed_width(lines: DataFrame, layout: Iterable[Field]) -> DataFrame:
     """Cut each line (column ``value``) into text columns: one projection, no shuffle."""
     return lines.select(
-        *(F.substring("value", field.start, field.length).alias(field.name) for field in layout)
+        *(
+            F.concat(*(F.substring("value", start, length) for start, length in field.spans)).alias(field.name)
+            for field in layout
+        )
     )
 
 
@@ -83,6 +112,17 @@ def read_batch(spark: SparkSession, batch: Row, folder: str | None = None) -> Da
 
 
 def to_fixed_width(df: DataFrame, layout: Iterable[Field]) -> DataFrame:
-    """The inverse of ``slice_fixed_width``; NULLs become blanks."""
-    padded = [F.rpad(F.coalesce(F.col(f.name), F.lit("")), f.length, " ") for f in layout]
+    """The inverse of ``slice_fixed_width`` for fields of one span that adjoin each other.
+
+    NULLs become blanks; a value longer than its field is an error.
+    """
+    padded, end = [], 1
+    for field in layout:
+        if field.spans[0][0] != end or len(field.spans) > 1:
+            raise ValueError(f"field {field.name} does not adjoin the one before")
+        end += field.length
+        value = F.coalesce(F.col(field.name), F.lit(""))
+        message = F.concat(F.lit(f"{field.name} is longer than {field.length}: "), value)
+        fits = F.length(value) <= field.length
+        padded.append(F.when(fits, F.rpad(value, field.length, " ")).otherwise(F.raise_error(message)))
     return df.select(F.concat(*padded).alias("value"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from kinspark.operators.kinship import kinship_links
+from kinspark.plans import check_sql
+from kinspark.plans import queries as named
 from kinspark.plans.study import study_of
 
 EXPECTED_ROWS = {  # at the smallest scale
@@ -21,7 +23,7 @@ EXPECTED_ROWS = {  # at the smallest scale
     "lineage_marriages": 248, "linked_families": 1629, "study_population": 890,
 }
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = named.queries(), check_sql.check_sql()
 
 
 @pytest.fixture(scope="module")

@@ -47,12 +47,37 @@ def test_import_batch(spark, tmp_path):
     assert tuple(read.first()) == ("1870", "00000001", "0001", "1")
 
 
-@pytest.mark.parametrize("line", ["  A   P   1-2,5-6   4", "  A   P   1-4   3"])
-def test_unusable_codebook_lines_are_refused(spark, line):
+def layout_of(spark, *lines):
+    text = spark.createDataFrame([(line,) for line in lines], "value string")
+    return codebook.layout_from_codebook(codebook.parse_codebook(text))
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [("  A   P   1-4   3",), ("  A   P   4-1   2",), ("  A   P   1-2,,4   3",), ("  A   H   1-4   4", "  B   P   1-4   4")],
+)
+def test_unusable_codebook_lines_are_refused(spark, lines):
     with pytest.raises(ValueError):
-        codebook.layout_from_codebook(
-            codebook.parse_codebook(spark.createDataFrame([(line,)], "value string"))
-        )
+        layout_of(spark, *lines)
+
+
+def test_variable_of_two_spans(spark):
+    layout = layout_of(spark, "  A   P   1-2,7-8   4", "  B   H   3-6   4")
+    lines = spark.createDataFrame([("12345678",), ("123",)], "value string")
+    assert [tuple(r) for r in codebook.slice_fixed_width(lines, layout).collect()] == [("1278", "3456"), ("12", "3")]
+
+
+def test_codebook_text_describes_its_layout(spark):
+    layout = codebook.layout_from_widths(CENSUS_WIDTHS)
+    assert layout_of(spark, *codebook.codebook_text(layout)) == layout
+
+
+def test_too_long_a_value_is_an_error(spark):
+    df = spark.createDataFrame([("123",), ("12345",)], "a string")
+    layout = codebook.layout_from_widths({"a": 3})
+    assert codebook.to_fixed_width(df.limit(1), layout).first().value == "123"
+    with pytest.raises(Exception, match="a is longer than 3"):
+        codebook.to_fixed_width(df, layout).collect()
 
 
 def test_fixed_width_round_trip(spark, census, tmp_path):

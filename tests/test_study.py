@@ -79,3 +79,31 @@ def test_design(run):
         (person(2, 3), person(1, 3)),
     }
     assert run(Design(private_households_only=True)).master.count() == 12
+
+
+def test_large_keys_keep_households_apart(spark):
+    from kinspark.plans import census_inputs as inputs
+
+    keys = [1, 35, 36, 123456780, 123456788, 36**8 - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "o_orderkey long")
+    serials = [r[0] for r in df.selectExpr(inputs.SERIAL).collect()]
+    assert len(set(serials)) == len(keys) and all(len(x) == 8 for x in serials)
+    assert [int(x, 36) for x in serials] == keys
+    with pytest.raises(Exception):
+        spark.createDataFrame([(36**8,)], "o_orderkey long").selectExpr(inputs.SERIAL).collect()
+
+
+def test_every_record_has_two_regions(spark):
+    from kinspark.plans import census_inputs as inputs
+
+    rows = spark.createDataFrame([("000010",), ("250010",), ("990010",), ("XX0010",), (None,)], "countycode string")
+    tables = inputs.extracts(rows)
+    assert sum(t.count() for t in tables) == 2 * rows.count()
+
+
+def test_category_of_a_person_listed_twice(spark):
+    from kinspark.operators.population import with_slaveholding
+
+    people = spark.createDataFrame([("a",), ("b",), ("c",)], "hik string")
+    listed = spark.createDataFrame([("a", None), ("a", "2"), ("a", "3"), ("b", None)], "hik string, slvhcat string")
+    assert {tuple(r) for r in with_slaveholding(people, listed).collect()} == {("a", "2"), ("b", "0"), ("c", "0")}
