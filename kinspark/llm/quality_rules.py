@@ -182,7 +182,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     return measured(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "class_distance", "word_distance", "base_failed", "kept",
+        "base_failed", "kept",
     )
 
 

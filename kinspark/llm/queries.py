@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from kinspark.llm import best_fit_packing, language_id, ngram_jaccard, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup, top_k_search, warc
+from kinspark.llm import (
+    best_fit_packing,
+    check_sql,
+    language_id,
+    ngram_jaccard,
+    quality_classifier,
+    quality_rules,
+    source_mixing,
+    substring_dedup,
+    suffix_dedup,
+    top_k_search,
+    warc,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -17,4 +29,4 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL

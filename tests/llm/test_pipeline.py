@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import duckdb
 import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
 from kinspark.llm.common import documents
-from kinspark.llm.queries import QUERIES
+from kinspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import words_of
 
 
@@ -16,6 +19,19 @@ def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_query_equals_check(spark, sf_dir, name):
+    db = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    expected = db.execute(ORACLE_SQL[name]).to_arrow_table()
+    got = QUERIES[name](spark, sf_dir).toArrow()
+    columns = sorted(expected.column_names)
+    assert columns == sorted(got.column_names)
+    pairs = [Counter(zip(*(t.column(c).to_pylist() for c in columns))) for t in (got, expected)]
+    assert pairs[0] == pairs[1]
+
+
 def test_stages(spark, sf_dir, stage, none):
     docs = documents(spark, sf_dir)
     tables = [docs]
