@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(stage, keep: Sequence[str]) -> None:
+    """Deletes the tables of a stage but those of the names to keep. Nothing still to run may read them."""
+    context = stage.spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(stage.root)
+    files = root.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in files.listStatus(root) if files.exists(root) else []:
+        if status.getPath().getName().partition("-")[2] not in keep:
+            files.delete(status.getPath(), True)
+    for name in [t for t in stage._tables if t.rpartition("_")[2] not in keep]:
+        stage.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        stage._tables.remove(name)
+
+
 def components(edges: DataFrame, stage) -> DataFrame:
     """(u, v) -> (node, label): every node of an edge and the smallest node it is connected with.
 

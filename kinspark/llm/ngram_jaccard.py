@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import components, documents, settle
+from kinspark.llm.common import components, discard, documents, settle
 from kinspark.llm.shingles import Words, distinct, mix, slices
 from kinspark.sources.stage import Stage
 
@@ -238,6 +238,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     settle(docs.sparkSession)
     lengths = stage.save("lengths", posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")))
     posts = stage.save("posts", posts.join(lengths, "token"))
+    discard(stage, ("heads", "named", "sets", "posts"))
     settle(docs.sparkSession)
     links = posts.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
     labels = None
@@ -271,7 +272,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     met = pairs.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).count()
     met = met.filter(F.expr(f"count >= {short_common('m', 'n', percent)}")).select("u", "v")
     links = links.unionByName(stage.save("links", probed(met, sets, percent)))
-    labels = stage.save("labels", components(links, stage))
+    labels = stage.save("groups", components(links, stage))
+    discard(stage, ("heads", "groups"))
     settle(docs.sparkSession)
     return head.drop("short", "bits"), labels
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import documents, settle
+from kinspark.llm.common import discard, documents, settle
 from kinspark.llm.shingles import mix, powers
 from kinspark.sources.stage import Stage
 
@@ -275,6 +275,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
     if not keep_text:
         cut = cut.drop("kept")
     cut = stage.save("cut", cut)
+    discard(stage, ("cut",))
+    settle(docs.sparkSession)
     copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key")
     changes = cut.unionByName(
         copies.select(
