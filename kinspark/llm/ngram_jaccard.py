@@ -24,6 +24,7 @@ ids that are null aside; repeated rows are in one component. Only the id and tex
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ BUCKET_BITS = 22
 CHUNK = 4096
 #: Classes of a list that are paired with their neighbours in one task.
 STRETCH = 500
-ROUNDS = 3
+ORDERS = 3
 #: Bits of the parity sketch of a set.
 SKETCH = 512
 
@@ -102,19 +103,20 @@ def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, 0):
                 np.add.at(counts, bucket(sets_of(part, 0, size)[0]), 1)
-        rows = counts.reshape(-1, CHUNK)
+        rows = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)  # a task's share of a long list
         some = np.flatnonzero(rows.any(axis=1))
         if len(some):
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype="i4") * CHUNK), pa.array(rows[some].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), lists], names=["chunk", "counts"])
+            data = pa.array([row.tobytes() for row in rows[some]], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), data], names=["chunk", "counts"])
 
     def added(key, table):
-        lists = table.column("counts").combine_chunks()
-        total = lists.flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0)
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for row in table.column("counts"):
+            total += np.frombuffer(row.as_py(), dtype=np.uint8)
         level = np.where(total > 0, np.log2(np.maximum(total, 1)).astype(np.int8), 0).astype(np.int8)
         return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "levels": pa.array([level.tobytes()], type=pa.binary())})
 
-    counts = docs.select("text").mapInArrow(counted, "chunk int, counts array<int>")
+    counts = docs.select("text").mapInArrow(counted, "chunk int, counts binary")
     levels = counts.groupBy("chunk").applyInArrow(added, "chunk int, levels binary")
     out = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, dtype=np.int8).reshape(-1, CHUNK)
     for r in levels.collect():  # one byte a bucket, whatever the input
@@ -172,11 +174,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     ids = wanted.select(F.col("doc_id").alias("wanted_id"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = texts.select("text").mapInArrow(made, "cls long, tokens binary")
-    return sets.dropDuplicates(["cls"])
+    # Other texts may have the same id, and the same text may be there twice.
+    return sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that link, by binary search of the smaller set in the larger."""
+def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
+    """The pairs (u, v) of classes that link, by binary search of the smaller set in the larger.
+
+    Only the sets of these classes are made.
+    """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +195,16 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
 
+    pairs = stage.save("pairs", pairs)
+    settle(docs.sparkSession)
+    classes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    wanted = stage.save("wanted", named.select("cls", "doc_id").join(classes, "cls"))
+    sets = stage.save("sets", whole_sets(docs, wanted, size))
     df = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
     df = df.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
-    return df.select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
+    links = stage.save("links", df.select("u", "v", "a", "b").mapInArrow(linked, "u long, v long"))
+    settle(docs.sparkSession)
+    return links
 
 
 def needed(a: str, b: str, percent: int) -> str:
@@ -233,37 +246,38 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     some = posts.select("cls").distinct()
     named = head.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = stage.save("named", named.join(some, "cls", "left_semi"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = stage.save_bucketed("sets", whole_sets(docs, named, size), "cls", buckets)
     settle(docs.sparkSession)
     lengths = stage.save("lengths", posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")))
     posts = stage.save("posts", posts.join(lengths, "token"))
-    discard(stage, ("heads", "named", "sets", "posts"))
+    discard(stage, ("heads", "named", "posts"))
     settle(docs.sparkSession)
-    links = posts.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
-    labels = None
-    for k in range(ROUNDS):
+    # Every class and each of its neighbours, in several orders of the lists.
+    near = []
+    for k in range(ORDERS):
         stretch = F.pmod(F.xxhash64("cls", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("length") / STRETCH)))
-        near = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
-        row = F.struct("cls", "n", "label")
-        pairs = labelled(posts, labels).withColumn("stretch", stretch)
-        pairs = pairs.select(row.alias("a"), F.lag(row).over(near).alias("b")).filter("a.label <> b.label")
-        pairs = pairs.filter(F.expr(sizes("a", "b", percent))).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
-        a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
-        pairs = pairs.join(a, "u").join(b, "v").filter(possible("a", "b", percent))
-        # The fewer bits differ, the more promising the pair.
-        near = F.struct((differ("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("share"), "v")
-        best = pairs.groupBy("u").agg(F.min(near).alias("best")).select("u", F.col("best.v").alias("v"))
-        links = links.unionByName(stage.save("links", probed(best, sets, percent)))
-        labels = stage.save("labels", components(links, stage))
-        settle(docs.sparkSession)
+        order = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
+        row = F.struct("cls", "n")
+        pairs = posts.withColumn("stretch", stretch).select(row.alias("a"), F.lag(row).over(order).alias("b"))
+        pairs = pairs.filter(F.expr(sizes("a", "b", percent)))
+        near.append(pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.lit(k).alias("k")))
+    near = functools.reduce(DataFrame.unionByName, near).distinct()
+    a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    near = near.join(a, "u").join(b, "v").filter(possible("a", "b", percent))
+    # The fewer bits differ, the more promising the pair.
+    share = F.struct((differ("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("share"), "v")
+    best = near.groupBy("u", "k").agg(F.min(share).alias("best")).select("u", F.col("best.v").alias("v")).distinct()
+    links = probed(docs, named, best, size, percent, stage)
+    labels = stage.save("labels", components(links, stage))
+    settle(docs.sparkSession)
     # Lists with one component have nothing to add; in the others, all but the largest component ask.
     members = labelled(posts, labels)
     counts = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     mixed = stage.save("tops", mixed.select("token", F.col("top.label").alias("top")))
     members = members.join(mixed, "token").select("cls", "n", "token", "label", "top")
-    members = stage.save("mixed", members.join(named.select("cls", "bits"), "cls"))
+    # A quarter of the sketch goes along: bits of equal remainder added up are the parities of their union.
+    folded = F.expr("transform(sequence(0, 1), i -> bits[i] ^ bits[i + 2] ^ bits[i + 4] ^ bits[i + 6])")
+    members = stage.save("mixed", members.join(named.select("cls", folded.alias("bits")), "cls"))
     settle(docs.sparkSession)
     a, b = members.filter("label <> top").alias("a"), members.alias("b")
     fresh = F.expr("a.label <> b.label AND (b.label = b.top OR a.cls < b.cls)")
@@ -271,16 +285,16 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     # A pair that may link meets in all the short lists it shares, so its meetings are counted.
     met = pairs.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).count()
     met = met.filter(F.expr(f"count >= {short_common('m', 'n', percent)}")).select("u", "v")
-    links = links.unionByName(stage.save("links", probed(met, sets, percent)))
+    a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    met = met.join(a, "u").join(b, "v").filter(possible("a", "b", percent)).select("u", "v")
+    links = links.unionByName(probed(docs, named, met, size, percent, stage))
     labels = stage.save("groups", components(links, stage))
     discard(stage, ("heads", "groups"))
     settle(docs.sparkSession)
     return head.drop("short", "bits"), labels
 
 
-def labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return posts.withColumn("label", F.col("cls"))
+def labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
     named = labels.select(F.col("node").alias("cls"), F.col("label").alias("found"))
     return posts.join(named, "cls", "left").withColumn("label", F.coalesce("found", "cls")).drop("found")
 
