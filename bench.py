@@ -23,7 +23,7 @@ from kinspark.session import local_session  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-ENOUGH = 4.0
+ENOUGH = 20.0
 ONLY = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name]
 
 

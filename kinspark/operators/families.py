@@ -20,6 +20,7 @@ from kinspark.sources.stage import Stage
 # the list that is collected and broadcast: a family ranked below that place holds less than
 # 1/LISTED_FAMILIES of all rows, which one task can hold wherever the whole can be processed.
 LARGE_FAMILY = 100_000
+FAMILY_BUCKETS = 1 << 14
 LISTED_FAMILIES = 10_000
 
 MEMBER_ORDER = ["rolecode", "birthyr", "personcode"]
@@ -50,14 +51,21 @@ def valid_families(counts: DataFrame) -> DataFrame:
 def special_families(persons: DataFrame, large: int = LARGE_FAMILY) -> list[Row]:
     """Counts of the NULL family and of the largest families: a short list, by construction.
 
-    One narrow pass (only the columns of the family code are read), map-side combined.
+    Members are first counted per hash bucket of the family code, of which each task sends a bounded number;
+    single codes are counted only inside buckets that could hold a large family.
     """
-    counts = persons.groupBy("famcode").agg(
-        F.count_if(~F.col("unmc")).alias("adults"), F.count_if("unmc").alias("children")
-    )
+    counts = (F.count_if(~F.col("unmc")).alias("adults"), F.count_if("unmc").alias("children"))
     size = F.col("adults") + F.col("children")
-    special = counts.filter(F.col("famcode").isNull() | (size > large))
-    return special.orderBy(F.col("famcode").isNotNull(), size.desc()).limit(LISTED_FAMILIES + 1).collect()
+    code = F.col("famcode")
+    bucket = F.when(code.isNotNull(), F.pmod(F.xxhash64("famcode"), F.lit(FAMILY_BUCKETS)))
+    sums = persons.groupBy(bucket.alias("bucket")).agg(*counts)
+    sums = sums.filter(F.col("bucket").isNull() | (size > large)).collect()
+    special = [Row(famcode=None, adults=r.adults, children=r.children) for r in sums if r.bucket is None]
+    heavy = [r.bucket for r in sums if r.bucket is not None]
+    if heavy:
+        families = persons.filter(bucket.isin(heavy)).groupBy("famcode").agg(*counts).filter(size > large)
+        special += families.orderBy(size.desc(), "famcode").limit(LISTED_FAMILIES).collect()
+    return special
 
 
 def with_family(persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY) -> DataFrame:
