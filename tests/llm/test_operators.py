@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,6 +61,39 @@ def test_cutting_keeps_rows_columns_and_clean_texts(docs):
     assert sum(" ".join(passage) in (r.text or "") for r in left.values()) == 1
 
 
+def test_windows_that_the_heads_refuse_meet_the_others(spark):
+    r = random.Random(3)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    data = []
+    for _ in range(60):  # the first has a quote only, the others the passage around it
+        quote = word(40)
+        passage = word(10) + quote + word(10)
+        for own in (quote, passage, passage):
+            data.append((len(data), " ".join(word(100) + own + word(100))))
+    found = substring_dedup.repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    texts = [words_of(text) for _, text in data]
+    sets = [[{tuple(w[i + k : i + k + 5]) for k in range(56)} for i in range(len(w) - 59)] for w in texts]
+    expected = set()  # by brute force, over all stretches of 60 words
+    for b in range(len(data)):
+        for a in range(b // 3 * 3, b):
+            common = [(i, j) for i, x in enumerate(sets[a]) for j, y in enumerate(sets[b]) if len(x & y) >= 50]
+            if any(len(sets[a][i] & sets[b][j]) >= 0.8 * len(sets[a][i] | sets[b][j]) for i, j in common):
+                expected.add((b, a))
+    assert len(expected) == 60 and {(r.doc_id, r.first_doc_id) for r in found} == expected
+
+
+def test_blocks_of_a_signature_meet(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    monkeypatch.setattr(substring_dedup, "COLUMNS", 16)
+    r = random.Random(4)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, passages = word(40), [(word(10), word(10)) for _ in range(12)]
+    data = [(i, " ".join(word(100) + line + word(100))) for i in range(5)]
+    data += [(5 + i, " ".join(word(100) + a + line + b + word(100))) for i, (a, b) in enumerate(passages * 2)]
+    found = substring_dedup.repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {(17 + i, 5 + i) for i in range(12)}
+
+
 def test_compact_windows_are_those_of_the_tree():
     values = np.random.default_rng(3).permutation(500).astype(np.uint64) << np.uint64(40)
     got = substring_dedup.compact_windows(values, 20)
