@@ -94,6 +94,39 @@ def test_blocks_of_a_signature_meet(spark, monkeypatch):
     assert {(r.doc_id, r.first_doc_id) for r in found} == {(17 + i, 5 + i) for i in range(12)}
 
 
+def test_stretches_with_scattered_other_sides():
+    r = np.random.default_rng(5)
+    p, q, *noise = (r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (96, 96, 4, 1000, 30, 30))
+    own = np.r_[noise[2], p, noise[0], q, noise[3]]
+    for other in (np.r_[p, noise[1], q], np.r_[q, noise[1], p]):
+        found = substring_dedup.similar_stretches(own, other, 46, 0.8)
+        assert [x[:2] for x in found] == [(30, 126), (130, 226)] and all(x[4] == 1 for x in found)
+    # A passage and quotes from elsewhere in the other text; a passage whose first words the other text also quotes.
+    for other in (np.r_[p, noise[1], q[50:60], noise[2], q[:45]], np.r_[p[:20], noise[1], p]):
+        found = substring_dedup.similar_stretches(own, other, 46, 0.8)
+        assert any(x[0] <= 30 and x[1] >= 126 and x[4] >= 0.8 for x in found)
+    assert [x[:2] for x in found] == [(30, 126)]
+    # The widest overlap of intervals with equal shifts, and a text that repeats itself.
+    assert [x[:4] for x in substring_dedup.similar_stretches(own, own, 46, 0.8)] == [(0, 256, 0, 256)]
+    same = np.zeros(200, dtype=np.uint32)
+    assert substring_dedup.similar_stretches(same, same[:60], 46, 0.8)[0][:2] == (0, 200)
+
+
+def test_passages_that_are_adjacent_in_one_text_only(spark):
+    r = random.Random(6)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    data, passages = [], []
+    for _ in range(20):
+        p, q = word(100), word(100)
+        passages.append((p, q))
+        data.append((len(data), " ".join(p + word(1000) + q)))
+        data.append((len(data), " ".join(word(100) + p + q + word(100))))
+    cut = substring_dedup.cut(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    left = {row.doc_id: words_of(row.text) for row in cut}
+    for i, (p, q) in enumerate(passages):
+        assert len(left[2 * i]) == 1200 and not {*p, *q} & {*left[2 * i + 1]}
+
+
 def test_compact_windows_are_those_of_the_tree():
     values = np.random.default_rng(3).permutation(500).astype(np.uint64) << np.uint64(40)
     got = substring_dedup.compact_windows(values, 20)
