@@ -94,6 +94,21 @@ def test_blocks_of_a_signature_meet(spark, monkeypatch):
     assert {(r.doc_id, r.first_doc_id) for r in found} == {(17 + i, 5 + i) for i in range(12)}
 
 
+def test_recall_of_short_passages_with_an_edit(spark):
+    r = random.Random(7)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    data = []
+    for _ in range(400):  # 41 of 51 shingles in common
+        passage, other = word(50), word(1)
+        at = r.randrange(5, 45)
+        for own in (passage, passage[:at] + other + passage[at + 1 :]):
+            data.append((len(data), " ".join(word(60) + own + word(60))))
+    found = substring_dedup.repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    pairs = {(row.doc_id, row.first_doc_id) for row in found}
+    print(f"recall {len(pairs)} of 400")
+    assert pairs <= {(i + 1, i) for i in range(0, 800, 2)} and len(pairs) >= 396
+
+
 def test_stretches_with_scattered_other_sides():
     r = np.random.default_rng(5)
     p, q, *noise = (r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (96, 96, 4, 1000, 30, 30))
