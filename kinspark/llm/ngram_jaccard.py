@@ -16,7 +16,7 @@ remaining shingles in the partner's sorted set.
    meets all classes of other components. All pairs that share enough short lists are probed, so no link
    between components is missed, while a group of copies, already one component, makes no pairs.
 
-Shingles are compared by 64-bit hashes in lists and 40-bit hashes in probes, sets by 64-bit hashes.
+Shingles are compared by 64-bit hashes in lists and probes, sets by 64-bit hashes.
 
 Null and empty texts have no set and link with nothing. A component_id is the smallest id in the component,
 ids that are null aside; repeated rows are in one component. Only the id and text columns are read.
@@ -85,14 +85,11 @@ def parities(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def written(hashes: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted hashes: all of the first 32, then all of the other 8."""
-    return (hashes >> np.uint64(32)).astype("<u4").tobytes() + ((hashes >> np.uint64(24)) & np.uint64(255)).astype("u1").tobytes()
+    return hashes.astype("<u8").tobytes()
 
 
 def read(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    high, low = np.frombuffer(data, "<u4", n), np.frombuffer(data, "u1", n, 4 * n)
-    return (high.astype(np.uint64) << np.uint64(8)) | low
+    return np.frombuffer(data, "<u8")
 
 
 def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:

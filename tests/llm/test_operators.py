@@ -308,6 +308,11 @@ def plain_groups(sets, percent):
     return group
 
 
+def test_sets_tell_hashes_apart_that_share_40_bits():
+    hashes = np.array([5 << 24, (5 << 24) + 1, 1 << 63], dtype=np.uint64)
+    assert ngram_jaccard.read(ngram_jaccard.written(hashes)).tolist() == hashes.tolist()
+
+
 @pytest.mark.parametrize("size, percent", [(3, 90), (5, 80), (2, 50)])
 def test_links_and_groups(docs, size, percent):
     sets, ids = shingle_sets(size), [r[0] for r in documents()]
