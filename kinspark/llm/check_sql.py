@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinspark.llm import ngram_jaccard, quality_rules, top_k_search, warc
+from kinspark.llm import lexical_search, ngram_jaccard, quality_rules, spelling_variants, top_k_search, warc
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,9 +105,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+# The checksum byte by byte from its table of 256; near words share the rest after one deletion, at equal places
+# if a letter was replaced.
+VARIANTS = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
+spelt AS (SELECT w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run GROUP BY w, doc_id),
+hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h FROM spelt, crc),
+word AS (
+  SELECT CASE WHEN h % {spelling_variants.DELETE_EVERY} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word,
+    sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= {spelling_variants.MIN_LENGTH} AND sum(hashed.n) >= {spelling_variants.MIN_COUNT}),
+rest AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS r
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT a.word, b.word AS v, b.n FROM rest AS a JOIN rest AS b ON a.r = b.r AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM rest AS a JOIN word AS b ON b.word = a.r
+  UNION SELECT b.word, a.word, a.n FROM rest AS a JOIN word AS b ON b.word = a.r),
+best AS (
+  SELECT word, v, n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, v) = 1),
+formed AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= {spelling_variants.FACTOR} * w.n THEN v END AS form,
+    CASE WHEN b.n >= {spelling_variants.FACTOR} * w.n THEN b.n END AS form_n
+  FROM word AS w LEFT JOIN best AS b USING (word)),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT chain.word, form FROM chain JOIN formed ON formed.word = chain.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed AS f JOIN chain AS c USING (word) JOIN formed AS e ON e.word = c.at AND e.form IS NULL"""
+
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH term AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM (
+    SELECT row, doc_id, unnest({_TERMS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")}) AS term
+    FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)) GROUP BY ALL),
+doc AS (SELECT row, sum(tf)::BIGINT AS n FROM term GROUP BY row),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM doc),
+norm AS (SELECT row, {100 - lexical_search.SLOPE} + ({lexical_search.SLOPE} * n * docs) // words AS m FROM doc, size),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM term, size GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest({_TERMS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN term USING (term) JOIN norm USING (row) GROUP BY ALL HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored QUALIFY rank <= {lexical_search.K}"""
+
+
 ORACLE_SQL = {
     "op4_top_k_search": TOP_K,
     "op6_ngram_jaccard": JACCARD,
     "op9_quality_rules": _rules(),
     "op10_warc": WARC,
+    "op11_spelling_variants": VARIANTS,
+    "op12_lexical_search": SEARCH,
 }

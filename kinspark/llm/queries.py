@@ -6,13 +6,16 @@ from kinspark.llm import (
     best_fit_packing,
     check_sql,
     language_id,
+    lexical_search,
     ngram_jaccard,
     quality_classifier,
     quality_rules,
     source_mixing,
+    spelling_variants,
     substring_dedup,
     suffix_dedup,
     top_k_search,
+    vector_packing,
     warc,
 )
 
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_warc": warc.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_vector_packing": vector_packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL

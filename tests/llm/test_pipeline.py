@@ -15,14 +15,14 @@ from tests.llm.conftest import words_of
 
 
 def test_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_equals_check(spark, sf_dir, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     expected = db.execute(ORACLE_SQL[name]).to_arrow_table()
     got = QUERIES[name](spark, sf_dir).toArrow()
