@@ -9,23 +9,27 @@ by then. Three facts make this cheap:
 * Nobody is expanded twice in one direction. A person expanded upward earlier has all parents among
   the known persons, who start the next upward walk anyway; so that walk need only start from those
   not yet expanded, and reaches the same persons at the same hop.
-* Each step is a written table, so plans stay small, an executor loss costs one step, and its exact
-  size is known. A frontier within ``broadcast_ids`` is broadcast and the edges are scanned without
-  a shuffle. Beyond that, the edges are laid out once per direction, bucketed by the side they are
-  looked up on, and only the frontier is shuffled; edges of keys too frequent for one bucket task
-  are kept apart and matched by broadcast.
+* Everyone known is one table, bucketed by person, to which each step is appended. A step's newcomers are
+  hashed by person the same way and compared bucket by bucket, so the known persons are never shuffled;
+  only the neighbours of the frontier are. An executor loss costs one step, and every step's exact size is known.
+* A frontier within ``broadcast_ids`` is broadcast and the edges are scanned without a shuffle. Beyond that, the
+  edges are laid out once per direction, bucketed by the side they are looked up on, in as many buckets as the
+  known persons: then neither side is shuffled. Edges of keys too frequent for one bucket task are kept apart
+  and matched by broadcast.
+* The edges of the lineage are picked in one pass over the edges, with a mark for either end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinspark.operators.kinship import descent_edges, marriage_edges
 from kinspark.sources.schemas import LINEAGE_COLUMNS
-from kinspark.sources.stage import Stage
+from kinspark.sources.stage import GrowingTable, Stage
 
 UP, DOWN = "up", "down"
 LOOKUP = {UP: "src", DOWN: "tgt"}
@@ -36,19 +40,34 @@ FREQUENT_KEYS = 10_000  # bound of the list of frequent keys that is broadcast
 FREQUENT_EDGES = 1_000_000  # a key with more edges than this is kept out of the buckets
 
 
+EDGES_PER_BUCKET = 250_000
+MANY_BUCKETS, MOST_EDGES_PER_BUCKET = 4096, 8_000_000  # beyond so many buckets they grow, to this size first
+
+
+def buckets_for(edges: int) -> int:
+    """Buckets for the edges, and for the persons met along them."""
+    fine = -(-edges // EDGES_PER_BUCKET)
+    return max(1, fine if fine <= MANY_BUCKETS else max(MANY_BUCKETS, -(-edges // MOST_EDGES_PER_BUCKET)))
+
+
 @dataclass(frozen=True)
 class Step:
-    """Persons first reached by one step: a written table of distinct ``hik`` and its row count."""
+    """Persons first reached by one step: a step of the table of known persons, and its row count."""
 
-    stage: Stage
-    path: str
+    table: GrowingTable
+    number: int
     size: int
 
+    @property
+    def path(self) -> str:
+        return self.table.path
+
 
 @dataclass
 class Walk:
     """What a walk has reached and expanded so far."""
 
+    table: GrowingTable
     reached: list[Step] = field(default_factory=list)
     expanded: dict[str, list[Step]] = field(default_factory=lambda: {UP: [], DOWN: []})
     waiting: dict[str, list[Step]] = field(default_factory=lambda: {UP: [], DOWN: []})
@@ -58,13 +77,16 @@ class Walk:
 
 
 def stack(steps: list[Step]) -> DataFrame:
-    """The persons of several steps, as one scan over their folders."""
-    stage = steps[0].stage
-    return stage.spark.read.schema("hik string").parquet(*(step.path for step in steps))
+    """The persons of several steps of one walk, as one scan that keeps their buckets."""
+    return steps[0].table.read(step.number for step in steps)
+
+
+def size_of(steps: list[Step]) -> int:
+    return sum(step.size for step in steps)
 
 
 class EdgeIndex:
-    """Descent edges as (src, tgt) pairs, looked up by source or by target."""
+    """Descent edges, each once, looked up by source or by target."""
 
     def __init__(
         self,
@@ -76,39 +98,72 @@ class EdgeIndex:
         self.stage = stage
         self.broadcast_ids = broadcast_ids
         self.frequent_edges = frequent_edges
-        self.pairs = stage.save("lineage_pairs", edges.select("src", "tgt"))
-        self._buckets: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]] = {}
-
-    def neighbours(self, frontier: list[Step], direction: str) -> DataFrame:
-        """The persons one step away from the frontier (``hik``, with repeats)."""
-        key, far = LOOKUP[direction], F.col(REACHED[direction]).alias("hik")
+        self.edges = edges
+        rows = Observation()
+        pairs = edges.select("src", "tgt").observe(rows, F.count(F.lit(1)).alias("n"))
+        self.pairs = stage.save("lineage_pairs", pairs)
+        self.buckets = buckets_for(rows.get["n"])
+        self._layouts: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]] = {}
+
+    def met(self, frontier: list[Step], direction: str) -> DataFrame:
+        """The (src, tgt) pairs that lead one step away from the frontier."""
+        key = LOOKUP[direction]
         ids = stack(frontier).select(F.col("hik").alias(key))
-        if sum(step.size for step in frontier) <= self.broadcast_ids:
-            return self.pairs.join(F.broadcast(ids), key, "left_semi").select(far)
-        spread, gathered, frequent = self._bucketed(direction)
-        found = spread.join(ids, key, "left_semi").select(far)
+        if size_of(frontier) <= self.broadcast_ids:
+            return self.pairs.join(F.broadcast(ids), key, "left_semi")
+        spread, gathered, frequent = self._layout(direction)
+        found = spread.select("src", "tgt").join(ids, key, "left_semi")
         if gathered is not None:
             wanted = ids.join(F.broadcast(frequent), key, "left_semi")
-            found = found.unionAll(gathered.join(F.broadcast(wanted), key, "left_semi").select(far))
+            found = found.unionByName(gathered.select("src", "tgt").join(F.broadcast(wanted), key, "left_semi"))
         return found
 
-    def _bucketed(self, direction: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-        """(edges bucketed by key, edges of frequent keys, those keys), built on first need."""
-        if direction not in self._buckets:
+    def neighbours(self, frontier: list[Step], direction: str) -> DataFrame:
+        """The persons one step away from the frontier (``hik``, with repeats)."""
+        return self.met(frontier, direction).select(F.col(REACHED[direction]).alias("hik"))
+
+    def pick(self, expanded: dict[str, list[Step]]) -> DataFrame:
+        """Edges whose source was expanded upward or whose target was expanded downward, in one pass."""
+        marked, marks = self.edges, []
+        for direction in (UP, DOWN):
+            steps, key, mark = expanded[direction], LOOKUP[direction], f"_{direction}"
+            if not steps:
+                continue
+            ids = stack(steps).select(F.col("hik").alias(key), F.lit(True).alias(mark))
+            if size_of(steps) <= self.broadcast_ids:
+                marked = marked.join(F.broadcast(ids), key, "left")
+            elif direction == UP:
+                spread, gathered, frequent = self._layout(UP)
+                marked = spread.join(ids, key, "left")
+                if gathered is not None:
+                    wanted = ids.join(F.broadcast(frequent), key, "left_semi")
+                    marked = marked.unionByName(gathered.join(F.broadcast(wanted), key, "left"))
+            else:
+                marked = marked.join(ids, key, "left")
+            marks.append(F.coalesce(F.col(mark), F.lit(False)))
+        chosen = marked.filter(reduce(Column.__or__, marks)) if marks else marked.limit(0)
+        return chosen.select(*self.edges.columns)
+
+    def _layout(self, direction: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(edges bucketed by key, edges of frequent keys, those keys), built on first need.
+
+        By source whole edges, from which the lineage is picked; by target the pairs alone.
+        """
+        if direction not in self._layouts:
             key, save = LOOKUP[direction], self.stage.save
+            rows = self.edges if direction == UP else self.pairs
             counts = self.pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
             frequent = counts.filter(F.col("n") > self.frequent_edges)
             frequent = frequent.orderBy(F.col("n").desc()).limit(FREQUENT_KEYS).select(key)
             frequent = save(f"frequent_{direction}", frequent)
-            spread, gathered = self.pairs, None
+            spread, gathered = rows, None
             if not frequent.isEmpty():
-                spread = self.pairs.join(F.broadcast(frequent), key, "left_anti")
-                gathered = self.pairs.join(F.broadcast(frequent), key, "left_semi")
+                spread = rows.join(F.broadcast(frequent), key, "left_anti")
+                gathered = rows.join(F.broadcast(frequent), key, "left_semi")
                 gathered = save(f"gathered_{direction}", gathered)
-            buckets = int(self.stage.spark.conf.get("spark.sql.shuffle.partitions"))
-            spread = self.stage.save_bucketed(f"pairs_{direction}", spread, key, buckets)
-            self._buckets[direction] = (spread, gathered, frequent)
-        return self._buckets[direction]
+            spread = self.stage.save_bucketed(f"pairs_{direction}", spread, key, self.buckets)
+            self._layouts[direction] = (spread, gathered, frequent)
+        return self._layouts[direction]
 
 
 class LineageWalker:
@@ -118,10 +173,17 @@ class LineageWalker:
         self.index = index
         self.stage = stage
 
-    def write(self, ids: DataFrame) -> Step:
-        rows = Observation()
-        counted = ids.select("hik").observe(rows, F.count(F.lit(1)).alias("n"))
-        return Step(self.stage, self.stage.write("lineage_step", counted), rows.get["n"])
+    def hashed(self, ids: DataFrame) -> DataFrame:
+        """Distinct persons, dealt out as the known ones are."""
+        return ids.select("hik").distinct().repartition(self.index.buckets, "hik")
+
+    def newcomers(self, walk: Walk, frontier: list[Step], direction: str) -> DataFrame:
+        """Persons one step away from the frontier who are not known yet."""
+        near = self.hashed(self.index.neighbours(frontier, direction))
+        return near.join(walk.known(), "hik", "left_anti")
+
+    def add(self, walk: Walk, ids: DataFrame) -> Step:
+        return Step(walk.table, *walk.table.append(ids))
 
     def half_round(self, walk: Walk, direction: str, hops: int) -> bool:
         """Expand everyone waiting in this direction; True if somebody was reached."""
@@ -133,8 +195,7 @@ class LineageWalker:
             if not frontier:
                 break
             walk.expanded[direction] += frontier
-            near = self.index.neighbours(frontier, direction).distinct()
-            step = self.write(near.join(walk.known(), "hik", "left_anti"))
+            step = self.add(walk, self.newcomers(walk, frontier, direction))
             frontier = []
             if step.size:
                 walk.reached.append(step)
@@ -144,8 +205,10 @@ class LineageWalker:
         return grown
 
     def start(self, seeds: DataFrame) -> Walk:
-        first = self.write(seeds.select("hik").filter(F.col("hik").isNotNull()).distinct())
-        return Walk(reached=[first], waiting={UP: [first], DOWN: [first]})
+        walk = Walk(self.stage.growing("known", "hik", self.index.buckets))
+        first = self.add(walk, self.hashed(seeds.filter(F.col("hik").isNotNull())))
+        walk.reached, walk.waiting = [first], {UP: [first], DOWN: [first]}
+        return walk
 
     def keep_connected_seeds(self, walk: Walk, carried: DataFrame) -> None:
         """After the first walk up: go on with the ends of its edges and the carried persons only.
@@ -154,30 +217,17 @@ class LineageWalker:
         persons that were not seeds join, still to be expanded both ways.
         """
         seeds, found = walk.reached[0], walk.reached[1:]
-        expanded = stack(walk.expanded[UP]).withColumnRenamed("hik", "src")
-        pairs = self.index.pairs.join(expanded, "src", "left_semi")
+        pairs = self.index.met(walk.expanded[UP], UP) if walk.expanded[UP] else self.index.pairs.limit(0)
         ends = pairs.select(F.explode(F.array("src", "tgt")).alias("hik"))
-        carried = carried.select("hik").filter(F.col("hik").isNotNull())
-        kept = self.write(stack([seeds]).join(ends.unionAll(carried), "hik", "left_semi"))
-        joined = self.write(carried.distinct().join(walk.known(), "hik", "left_anti"))
+        carried = self.hashed(carried.filter(F.col("hik").isNotNull()))
+        staying = self.hashed(ends.unionAll(carried))
+        kept = self.add(walk, stack([seeds]).join(staying, "hik", "left_semi"))
+        joined = self.add(walk, carried.join(stack([seeds, *found]), "hik", "left_anti"))
         walk.reached = [kept, joined, *found]
         walk.waiting[DOWN] = [kept, joined, *found]
         walk.waiting[UP].append(joined)
 
 
-def _expanded_edges(edges: DataFrame, walk: Walk) -> DataFrame:
-    """Edges whose source was expanded upward or whose target was expanded downward."""
-    picked = [
-        edges.join(stack(steps).withColumnRenamed("hik", LOOKUP[direction]), LOOKUP[direction], "left_semi")
-        for direction, steps in walk.expanded.items()
-        if steps
-    ]
-    if not picked:
-        return edges.limit(0).select(*LINEAGE_COLUMNS)
-    chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1]).distinct()
-    return chosen.select(*LINEAGE_COLUMNS)
-
-
 def walk_edges(
     links: DataFrame,
     seeds: DataFrame,
@@ -187,13 +237,13 @@ def walk_edges(
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Edges met within ``hops`` steps up or down from the seeds."""
-    edges = descent_edges(links)
+    edges = descent_edges(links).select(*LINEAGE_COLUMNS)
     walker = LineageWalker(EdgeIndex(edges, stage, broadcast_ids), stage)
     walk = walker.start(seeds)
     if hops > 1:
         walker.half_round(walk, direction, hops - 1)
     walk.expanded[direction] += walk.waiting[direction]
-    return _expanded_edges(edges, walk)
+    return walker.index.pick(walk.expanded)
 
 
 @dataclass
@@ -216,10 +266,12 @@ def bounded_lineage(
 ) -> Lineage:
     """``rounds`` times: ``hops`` steps up from everyone known, then ``hops`` steps down.
 
+    ``links`` holds each edge once, as ``kinship_links`` does.
+
     ``carried`` names the persons that stay in after the first walk up even without an edge; by
     default these are the seeds. Stops early once a whole round reaches nobody new.
     """
-    edges = descent_edges(links)
+    edges = descent_edges(links).select(*LINEAGE_COLUMNS)
     walker = LineageWalker(EdgeIndex(edges, stage, broadcast_ids, frequent_edges), stage)
     walk = walker.start(seeds)
     for number in range(rounds):
@@ -230,7 +282,7 @@ def bounded_lineage(
         grown = walker.half_round(walk, DOWN, hops) or grown
         if not grown:
             break
-    return Lineage(_expanded_edges(edges, walk), walk.known())
+    return Lineage(walker.index.pick(walk.expanded), walk.known())
 
 
 def adult_links_only(lineage_links: DataFrame, adults: DataFrame) -> DataFrame:

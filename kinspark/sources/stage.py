@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -69,6 +71,13 @@ class Stage:
         self._tables.append(table)
         return self.spark.table(table)
 
+    def growing(self, name: str, key: str, buckets: int) -> GrowingTable:
+        """A table that is appended to step by step, bucketed by ``key``."""
+        self._count += 1
+        table = f"kinspark_{self.id}_{self._count}_{name}"
+        self._tables.append(table)
+        return GrowingTable(self.spark, table, f"{self.root}/{self._count:04d}-{name}", key, buckets)
+
     def release(self) -> None:
         """Forget the bucketed tables and delete this instance's folder."""
         for table in self._tables:
@@ -77,3 +86,31 @@ class Stage:
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.root)
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass
+class GrowingTable:
+    """A bucketed table in steps: rows once appended stay, and reading any of its steps shuffles nothing."""
+
+    spark: SparkSession
+    table: str
+    path: str
+    key: str
+    buckets: int
+    steps: int = 0
+
+    def append(self, df: DataFrame) -> tuple[int, int]:
+        """Add the rows as the next step; its number and row count.
+
+        ``df`` should already be hashed by the key into as many partitions as there are buckets.
+        """
+        rows, number = Observation(), self.steps
+        counted = df.observe(rows, F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(number))
+        writer = counted.write.mode("append").bucketBy(self.buckets, self.key).option("path", self.path)
+        writer.saveAsTable(self.table)
+        self.steps += 1
+        return number, rows.get["n"]
+
+    def read(self, steps: Iterable[int]) -> DataFrame:
+        """The rows of these steps; the files of the others are skipped by their statistics."""
+        return self.spark.table(self.table).filter(F.col("step").isin(*steps)).drop("step")

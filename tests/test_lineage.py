@@ -122,21 +122,73 @@ def test_large_frontier_path_gives_the_same(spark, stage, frequent_edges):
     assert {r.hik for r in got.members.collect()} == known
 
 
-def test_large_frontier_does_not_shuffle_the_edges(spark, stage):
-    edges = spark.range(200_000).selectExpr("cast(id as string) src", "cast(id + 1 as string) tgt")
-    index = EdgeIndex(edges, stage, broadcast_ids=0)
-    walk = LineageWalker(index, stage).start(spark.range(150_000).selectExpr("cast(id as string) hik"))
+@pytest.fixture
+def no_broadcast(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        near = index.neighbours(walk.reached, UP)
-        plan = plan_of(near)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert plan.count("Exchange") == 1 and "SelectedBucketsCount" in plan
-    edge_side = plan[plan.index("SortMergeJoin"):].split("Exchange")[0]
-    assert "lineage_pairs" not in edge_side.replace("pairs_up", "")
-    assert near.count() == 150_000
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def chain_walk(spark, stage, monkeypatch, people=2_000, seeds=1_500, **options):
+    """A walk over a chain of people, with more than one bucket."""
+    monkeypatch.setattr(lineage, "EDGES_PER_BUCKET", 400)
+    chain = spark.range(people).selectExpr("cast(id as string) src", "cast(id + 1 as string) tgt", "'1' edg")
+    index = EdgeIndex(chain, stage, **options)
+    assert index.buckets == 5
+    walker = LineageWalker(index, stage)
+    return walker, walker.start(spark.range(seeds).selectExpr("cast(id as string) hik"))
+
+
+def test_large_frontier_shuffles_neither_edges_nor_persons(spark, stage, no_broadcast, monkeypatch):
+    walker, walk = chain_walk(spark, stage, monkeypatch, broadcast_ids=0)
+    near = walker.index.neighbours(walk.reached, UP)
+    plan = plan_of(near)
+    assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 5 out of 5") == 2
+    assert near.count() == 1_500
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_a_hop_shuffles_the_neighbours_only(spark, stage, no_broadcast, monkeypatch, broadcast_ids):
+    walker, walk = chain_walk(spark, stage, monkeypatch, broadcast_ids=broadcast_ids)
+    walker.half_round(walk, UP, 2)
+    new = walker.newcomers(walk, walk.reached[-1:], UP)
+    plan = plan_of(new)
+    near, known = plan.split("LeftAnti")[1].rsplit(":  +-", 1)[0], plan.rsplit("+- Sort", 1)[1]
+    assert "Exchange" not in known and "_known" in known and "Bucketed: true" in known
+    assert plan.count("Exchange hashpartitioning") == 2 == near.count("Exchange hashpartitioning")
+    assert [r.hik for r in new.collect()] == ["1502"]
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_edges_are_picked_in_one_pass(spark, stage, no_broadcast, monkeypatch, broadcast_ids):
+    walker, walk = chain_walk(spark, stage, monkeypatch, broadcast_ids=broadcast_ids)
+    walker.half_round(walk, UP, 2)
+    walker.half_round(walk, DOWN, 1)
+    picked = walker.index.pick(walk.expanded)
+    plan = plan_of(picked)
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "src" in line.split("Batched")[0]]
+    if broadcast_ids:
+        assert "Exchange hashpartitioning" not in plan and plan.count("Range (0, 2000") == 1
+    else:
+        # The edges come in buckets of their sources and are dealt out once, by target.
+        assert len(scans) == 1 and "Bucketed: true" in scans[0] and "Range" not in plan
+        assert plan.count("Exchange hashpartitioning") - plan.count("Exchange hashpartitioning(hik") == 1
+    assert pairs_of(picked) == {(str(i), str(i + 1)) for i in range(1_501)}
+
+
+def test_buckets_follow_the_edges():
+    assert [lineage.buckets_for(n) for n in (0, 1, 250_001, 10**9, 10**11)] == [1, 1, 2, 4000, 12_500]
+    assert lineage.buckets_for(1_100_000_000) == 4096
+
+
+def test_steps_of_a_growing_table(spark, stage):
+    grown = stage.growing("grown", "hik", 3)
+    assert grown.append(ids_of(spark, ["a", "b"]).repartition(3, "hik")) == (0, 2)
+    assert grown.append(ids_of(spark, []).repartition(3, "hik")) == (1, 0)
+    assert grown.append(grown.read([0]).selectExpr("hik || hik AS hik").repartition(3, "hik")) == (2, 2)
+    assert sorted(r.hik for r in grown.read([0, 2]).collect()) == ["a", "aa", "b", "bb"]
+    assert grown.read([1]).count() == 0
 
 
 def test_marriages_of_lineage_people(spark, stage):
