@@ -16,12 +16,12 @@ from kinspark.functions.ordering import number_in_levels
 from kinspark.sources.schemas import EXTRACT_COLUMNS
 from kinspark.sources.stage import Stage
 
-# A family above LARGE_FAMILY members leaves the one-task-per-family path. LISTED_FAMILIES bounds
-# the list that is collected and broadcast: a family ranked below that place holds less than
-# 1/LISTED_FAMILIES of all rows, which one task can hold wherever the whole can be processed.
+# A family above LARGE_FAMILY members that also holds more than 1/LISTED_FAMILIES of all coded rows leaves the
+# one-task-per-family path. There are fewer than LISTED_FAMILIES of these, whatever the input's size, and a smaller
+# one is for one task to hold wherever the whole can be processed.
 LARGE_FAMILY = 100_000
-FAMILY_BUCKETS = 1 << 14
-LISTED_FAMILIES = 10_000
+LISTED_FAMILIES = 5_000
+SKETCH_WIDTH = 4  # counters of a sketch row, as a multiple of LISTED_FAMILIES
 
 MEMBER_ORDER = ["rolecode", "birthyr", "personcode"]
 
@@ -48,39 +48,54 @@ def valid_families(counts: DataFrame) -> DataFrame:
     return counts.filter(is_valid(F.col("adults"), F.col("children")))
 
 
-def special_families(persons: DataFrame, large: int = LARGE_FAMILY) -> list[Row]:
+def special_families(
+    persons: DataFrame, large: int = LARGE_FAMILY, listed: int = LISTED_FAMILIES
+) -> list[Row]:
     """Counts of the NULL family and of the largest families: a short list, by construction.
 
-    Members are first counted per hash bucket of the family code, of which each task sends a bounded number;
-    single codes are counted only inside buckets that could hold a large family.
+    A count-min sketch of two rows of counters comes first: every record is counted once in each row, under a
+    hash of its family code. A family is large only if both its counters are, and fewer than ``listed``
+    counters of a row can be; so families whose counters are large are few, and they alone are counted exactly.
     """
     counts = (F.count_if(~F.col("unmc")).alias("adults"), F.count_if("unmc").alias("children"))
     size = F.col("adults") + F.col("children")
-    code = F.col("famcode")
-    bucket = F.when(code.isNotNull(), F.pmod(F.xxhash64("famcode"), F.lit(FAMILY_BUCKETS)))
-    sums = persons.groupBy(bucket.alias("bucket")).agg(*counts)
-    sums = sums.filter(F.col("bucket").isNull() | (size > large)).collect()
-    special = [Row(famcode=None, adults=r.adults, children=r.children) for r in sums if r.bucket is None]
-    heavy = [r.bucket for r in sums if r.bucket is not None]
-    if heavy:
-        families = persons.filter(bucket.isin(heavy)).groupBy("famcode").agg(*counts).filter(size > large)
-        special += families.orderBy(size.desc(), "famcode").limit(LISTED_FAMILIES).collect()
-    return special
-
-
-def with_family(persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY) -> DataFrame:
+    width = SKETCH_WIDTH * listed
+    counter = [F.pmod(F.xxhash64("famcode", F.lit(row)), F.lit(width)) for row in range(2)]
+    places = F.array(*(F.struct(F.lit(row).alias("row"), c.alias("counter")) for row, c in enumerate(counter)))
+    unknown = F.array(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("counter")))
+    placed = persons.select("unmc", F.inline(F.when(F.col("famcode").isNull(), unknown).otherwise(places)))
+    sketch = placed.groupBy("row", "counter").agg(*counts)
+    # One row of the sketch is at most ``width`` rows here.
+    least = F.greatest(F.lit(large), F.sum(size).over(Window.partitionBy("row")) / F.lit(listed))
+    sketch = sketch.withColumn("least", least)
+    found = sketch.filter(F.col("row").isNull() | (size > F.col("least"))).collect()
+    special = [Row(famcode=None, adults=r.adults, children=r.children) for r in found if r.row is None]
+    heavy = [[r for r in found if r.row == row] for row in range(2)]
+    if not all(heavy):
+        return special
+    candidates = persons.select("famcode", "unmc")
+    for row, held in enumerate(heavy):
+        names = persons.sparkSession.createDataFrame([(r.counter,) for r in held], "counter long")
+        candidates = candidates.join(F.broadcast(names), counter[row] == F.col("counter"), "left_semi")
+    families = candidates.groupBy("famcode").agg(*counts).filter(size > heavy[0][0].least)
+    return special + families.collect()
+
+
+def with_family(
+    persons: DataFrame, stage: Stage, large: int = LARGE_FAMILY, listed: int = LISTED_FAMILIES
+) -> DataFrame:
     """Members of valid families, with ``famadults``, ``famchildren`` and ``famseq``.
 
     The last two are long: a 16-bit number would end the job at a family of 32,768.
     """
-    special = special_families(persons, large)
-    listed = [row for row in special if row.famcode is not None]
+    special = special_families(persons, large, listed)
+    large_ones = [row for row in special if row.famcode is not None]
     coded = persons.filter(F.col("famcode").isNotNull())
-    if not listed:
+    if not large_ones:
         members = _ordinary_members(coded)
     else:
         names = persons.sparkSession.createDataFrame(
-            [(row.famcode, row.adults, row.children) for row in listed],
+            [(row.famcode, row.adults, row.children) for row in large_ones],
             "famcode string, famadults long, famchildren long",
         )
         ordinary = coded.join(F.broadcast(names), "famcode", "left_anti")

@@ -148,6 +148,31 @@ def test_large_families_give_the_same_members(census, stage):
     assert split.count() == 16 + 47
 
 
+@pytest.mark.parametrize("listed", [1, 2, 3, 10])
+def test_listed_families_are_few_and_counted_exactly(census, stage, listed):
+    """Every family is above ``large``, but only those above their share of the rows are listed."""
+    sizes = {**{f"{i}": 3 for i in range(1, 40)}, "90": 60, "91": 45}
+    raw = census(*(r for s, n in sizes.items() for r in family(s, children=n - 2)), {"sex": "9"}, {"sex": "9"})
+    persons = person_records(raw)
+    counts = {r.famcode: (r.adults, r.children) for r in families.family_counts(persons).collect()}
+    rows = sum(sizes.values())
+    found = families.special_families(persons, large=1, listed=listed)
+    known = {r.famcode: (r.adults, r.children) for r in found if r.famcode is not None}
+    assert known == {c: n for c, n in counts.items() if c is not None and sum((n[0], n[1] or 0)) > rows / listed}
+    assert len(known) < max(2, listed) and [r.adults for r in found if r.famcode is None] == [2]
+    columns = ["personcode", "famcode", "famseq", "famadults", "famchildren"]
+    plain = families.with_family(persons, stage).select(columns).collect()
+    assert sorted(map(str, families.with_family(persons, stage, 1, listed).select(columns).collect())) == sorted(map(str, plain))
+
+
+def test_counters_of_the_sketch_bound_the_candidates(census, monkeypatch):
+    """However many families there are, only rows of families with two large counters are counted one by one."""
+    monkeypatch.setattr(families, "SKETCH_WIDTH", 1)  # one counter a row for each listed family: all collide
+    raw = census(*(r for s in range(200) for r in family(f"{s}", children=1)), *family("900", children=300))
+    found = families.special_families(person_records(raw), large=10, listed=4)
+    assert [(r.adults, r.children) for r in found if r.famcode is not None] == [(2, 300)]
+
+
 def test_family_number_ranks_families_in_county_and_year(census, stage, spark):
     rows = [r for i in range(30) for r in family(f"{i * 37:08d}", stateicp="51" if i % 3 else "52")]
     members = families.with_family_number(members_of(census(*rows), stage))
