@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspark.sources.codebook import CODEBOOK_PATTERN, RecordTypes, record_types_from_widths
 from kinspark.sources.schemas import CENSUS_WIDTHS
 
 # Household serials are the order key in base 36, eight digits: one to one up to 36^8, an error beyond.
@@ -82,6 +83,11 @@ PERSON = {
     "slaveown": "case when k = 8 then lpad(cast(h % 7 as string), 3, '0') else '   ' end",
 }
 
+# Variables that are the same for all persons of a household.
+OF_HOUSEHOLD = {
+    "year", "serial", "farm", "gq", "hhtype", "stateicp", "countyicp", "enumdist", "slavenum", "slaveown",
+}
+
 ZONE_OF_STATE = (
     "case stateicp when '00' then 'KB' when '01' then 'KC' when '02' then 'KE'"
     " when '03' then 'KL' when '04' then 'KN' else 'OH' end"
@@ -97,6 +103,7 @@ BATCH = {
     "datafile": "concat('extract_', cast(13 + b as string), '.dat')",
     "cendata": "concat('cen', cast(13 + b as string))",
     "cbkcol": "'variable,basis,range,length'",
+    "pattern": f"r'{CODEBOOK_PATTERN}'",
 }
 
 # Codebook text: per order a variable line, a heading, or a line of another shape.
@@ -128,6 +135,12 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.selectExpr(*(f"{PERSON[name]} as {name}" for name in CENSUS_WIDTHS))
 
 
+def record_types() -> RecordTypes:
+    """The layout of a census file of household and person lines."""
+    of = [{c: w for c, w in CENSUS_WIDTHS.items() if (c in OF_HOUSEHOLD) == own} for own in (True, False)]
+    return record_types_from_widths(*of)
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     residues = read(spark, sf_dir, "orders").selectExpr("o_orderkey % 3 as b").distinct()
     return residues.selectExpr(*(f"{sql} as `{name}`" for name, sql in BATCH.items()))

@@ -301,6 +301,7 @@ def check_sql() -> dict[str, str]:
         "codebook_parse": _codebook(),
         "fixed_width_load": _with(_fixed_width(), "census"),
         "codebook_load": _with(_fixed_width(), "census"),
+        "hierarchical_load": _with(_fixed_width(), "census"),
         "distinct_on": _with(
             f"SELECT DISTINCT ON (hik) hik, sex, race, birthyr, bpl, farm FROM master AS p"
             f" ORDER BY hik, {_ATTRIBUTES_ORDER}",

@@ -11,7 +11,7 @@ from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import PASSED_THROUGH, person_records
 from kinspark.plans import census_inputs
 from kinspark.plans.study import FolderStudy, study_of
-from kinspark.sources import codebook
+from kinspark.sources import codebook, hierarchical, tables
 from kinspark.sources.schemas import CENSUS_WIDTHS
 from kinspark.sources.zones import zone_dimension
 
@@ -28,25 +28,42 @@ def _family_counts(study: FolderStudy) -> DataFrame:
     return counts.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
+def _batch_latest(study: FolderStudy) -> DataFrame:
+    """The batches as the configuration file has them, read from it."""
+    path = study.stage.new_path("batches")
+    tables.write_batches(study.batches, path)
+    return families.latest_batch(tables.read_batches(study.spark, path))
+
+
 def _zone_dim(study: FolderStudy) -> DataFrame:
-    return study.counties.join(F.broadcast(zone_dimension(study.spark)), "zone")
+    """The zones of the counties, from a zone file."""
+    path = study.stage.new_path("zones")
+    zone_dimension(study.spark).coalesce(1).write.csv(path, header=True)
+    return study.counties.join(F.broadcast(tables.read_zones(study.spark, path)), "zone")
 
 
 def _fixed_width_load(study: FolderStudy) -> DataFrame:
-    layout = codebook.layout_from_widths(CENSUS_WIDTHS)
-    path = study.stage.new_path("census_text")
-    codebook.to_fixed_width(study.census, layout).write.mode("overwrite").text(path)
-    return codebook.read_fixed_width(study.spark, path, layout)
+    return codebook.read_fixed_width(study.spark, study.census_text, codebook.layout_from_widths(CENSUS_WIDTHS))
+
+
+def _codebook_layout(study: FolderStudy, layout) -> list[codebook.Field] | codebook.RecordTypes:
+    """The layout by way of codebook text that describes it."""
+    lines = [(line,) for line in codebook.codebook_text(layout)]
+    text = study.stage.save("codebook", study.spark.createDataFrame(lines, "value string"))
+    return codebook.layout_from_codebook(codebook.parse_codebook(text))
 
 
 def _codebook_load(study: FolderStudy) -> DataFrame:
     """The same file, cut by the codebook text that describes it."""
-    layout = codebook.layout_from_widths(CENSUS_WIDTHS)
-    path = study.stage.new_path("census_text")
-    codebook.to_fixed_width(study.census, layout).write.mode("overwrite").text(path)
-    text = study.stage.save("codebook", study.spark.createDataFrame([(x,) for x in codebook.codebook_text(layout)], "value string"))
-    parsed = codebook.layout_from_codebook(codebook.parse_codebook(text))
-    return codebook.read_fixed_width(study.spark, path, parsed)
+    layout = _codebook_layout(study, codebook.layout_from_widths(CENSUS_WIDTHS))
+    return codebook.read_fixed_width(study.spark, study.census_text, layout)
+
+
+def _hierarchical_load(study: FolderStudy) -> DataFrame:
+    """The same census from household and person lines."""
+    layout = _codebook_layout(study, census_inputs.record_types())
+    read = hierarchical.read_hierarchical(study.spark, study.census_lines, layout, study.stage)
+    return read.select(*CENSUS_WIDTHS)
 
 
 def _walk(study: FolderStudy, direction: str, hops: int) -> DataFrame:
@@ -77,11 +94,12 @@ QUERIES: dict[str, Callable[[FolderStudy], DataFrame]] = {
     "census_extract_private_hh": lambda s: families.census_extract(
         person_records(s.census, private_households_only=True), s.batches, s.stage
     ),
-    "batch_latest": lambda s: families.latest_batch(s.batches),
+    "batch_latest": _batch_latest,
     "zone_dim": _zone_dim,
     "codebook_parse": lambda s: codebook.parse_codebook(census_inputs.codebook_lines(s.spark, s.sf_dir)),
     "fixed_width_load": _fixed_width_load,
     "codebook_load": _codebook_load,
+    "hierarchical_load": _hierarchical_load,
     "distinct_on": lambda s: people.person_attributes(s.master),
     "unique_persons": lambda s: people.unique_persons(s.master),
     "adult_hiks": lambda s: people.adult_hiks(s.master),

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
 from kinspark.plans import census_inputs
+from kinspark.sources import codebook, hierarchical
+from kinspark.sources.schemas import CENSUS_WIDTHS
 from kinspark.sources.stage import Stage
 from kinspark.sources.tables import replace_table_ordered
 
@@ -198,6 +200,20 @@ class FolderStudy(Study):
     def census(self) -> DataFrame:
         return self.stage.save("census", census_inputs.census(self.spark, self.sf_dir))
 
+    @cached_property
+    def census_text(self) -> str:
+        """The census as a fixed-width file."""
+        path = self.stage.new_path("census_text")
+        codebook.to_fixed_width(self.census, codebook.layout_from_widths(CENSUS_WIDTHS)).write.text(path)
+        return path
+
+    @cached_property
+    def census_lines(self) -> str:
+        """The census as a file of household and person lines."""
+        path = self.stage.new_path("census_lines")
+        hierarchical.to_hierarchical(self.census, census_inputs.record_types()).write.text(path)
+        return path
+
     @property
     def persons(self) -> DataFrame:
         return person_records(self.census)

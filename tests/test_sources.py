@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinspark.sources import codebook, tables
+from kinspark.sources import codebook, hierarchical, tables
 from kinspark.sources.schemas import CENSUS_WIDTHS
 from kinspark.sources.zones import zone_dimension, zone_rows
 
@@ -54,8 +54,14 @@ def layout_of(spark, *lines):
 
 @pytest.mark.parametrize(
     "lines",
-    [("  A   P   1-4   3",), ("  A   P   4-1   2",), ("  A   P   1-2,,4   3",), ("  A   H   1-4   4", "  B   P   1-4   4")],
-)
+    [
+        ("  A   P   1-4   3",), ("  A   P   4-1   2",), ("  A   P   1-2,,4   3",), ("  A   H   1-4   4", "  B   P   1-4   4"),
+        ("  RECTYPE   H   1   1", "  RECTYPE   P   2   1"),
+        ("  RECTYPE   H   1   1", "  RECTYPE   P   1   1", "  A   H   2   1", "  A   P   2   1"),
+        ("  RECTYPE   H   1   1", "  RECTYPE   P   1   1", "  A   P   2-3   2", "  B   P   3   1"),
+        ("  RECTYPE   H   1   1", "  A   P   1   1"),
+    ],
+)
 def test_unusable_codebook_lines_are_refused(spark, lines):
     with pytest.raises(ValueError):
         layout_of(spark, *lines)
@@ -92,6 +98,91 @@ def test_fixed_width_round_trip(spark, census, tmp_path):
     assert sorted(back.collect()) == sorted(expected.collect())
 
 
+HIERARCHY = """ Record Type: household, then persons
+  RECTYPE   H   1     1
+  YEAR      H   2-5   4
+  PLACE     H   6-9   4
+  RECTYPE   P   1     1
+  PERNUM    P   2-3   2
+  NAME      P   4-8   5
+"""
+
+
+def hierarchical_file(households):
+    """Lines of both types, and the rows they stand for."""
+    lines, rows = [], []
+    for i in range(households):
+        place = ["Ohio", "Märk", "    "][i % 3]
+        lines.append(f"H{1850 + i % 100}{place}")
+        for k in range([2, 0, 7, 1][i % 4]):
+            lines.append(f"P{k:02d}n{i:04d}")
+            rows.append((str(1850 + i % 100), place, f"{k:02d}", f"n{i:04d}"))
+    return lines, rows
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, ["90", "0"]):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def batch_of(spark):
+    row = [("D:/elsewhere", "x.cbk", "x.dat", codebook.CODEBOOK_PATTERN)]
+    return spark.createDataFrame(row, "path string, cbkfilename string, datafile string, pattern string").first()
+
+
+def test_record_types_across_splits(spark, stage, tmp_path, small_splits):
+    lines, rows = hierarchical_file(300)
+    (tmp_path / "x.cbk").write_text(HIERARCHY)
+    (tmp_path / "x.dat").write_text("\n".join([lines[0], "", *lines[1:]]) + "\n", encoding="utf-8")
+    text = spark.read.text(str(tmp_path / "x.dat"))
+    firsts = text.groupBy("_metadata.file_block_start").agg(F.first("value").alias("v"))
+    assert firsts.filter("v LIKE 'P%'").count() > 10 and firsts.filter("v LIKE 'H%'").count() > 10
+    read = codebook.read_batch(spark, batch_of(spark), str(tmp_path), stage)
+    assert read.columns == ["year", "place", "pernum", "name"]
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+
+
+def test_record_types_of_a_split_without_households(spark, stage, tmp_path, small_splits):
+    """One household over many splits, and one file behind another."""
+    layout = layout_of(spark, *HIERARCHY.splitlines())
+    for name, place in (("a", "Ohio"), ("b", "Utah")):
+        (tmp_path / name).write_text("\n".join([f"H1850{place}"] + [f"P01n{i:04d}" for i in range(200)]) + "\n")
+    read = hierarchical.read_hierarchical(spark, str(tmp_path), layout, stage)
+    assert {tuple(r) for r in read.groupBy("place").count().collect()} == {("Ohio", 200), ("Utah", 200)}
+
+
+@pytest.mark.parametrize(("text", "message"), [("P01n0001\nH1850Ohio\n", "before the first household"), ("H1850Ohio\nX01\n", "neither a household")])
+def test_lines_without_a_household(spark, stage, tmp_path, text, message):
+    (tmp_path / "x.dat").write_text(text)
+    layout = layout_of(spark, *HIERARCHY.splitlines())
+    with pytest.raises(Exception, match=message):
+        hierarchical.read_hierarchical(spark, str(tmp_path / "x.dat"), layout, stage).collect()
+
+
+def test_no_lines(spark, stage, tmp_path):
+    (tmp_path / "x.dat").write_text("")
+    layout = layout_of(spark, *HIERARCHY.splitlines())
+    assert hierarchical.read_hierarchical(spark, str(tmp_path / "x.dat"), layout, stage).count() == 0
+
+
+def test_record_types_round_trip(spark, census, stage, tmp_path, small_splits):
+    layout = codebook.record_types_from_widths({"year": 4, "serial": 8}, {"pernum": 4, "hik": 21})
+    assert layout_of(spark, *codebook.codebook_text(layout)) == layout
+    raw = census(*(r for i in range(50) for r in family(f"{i:08d}", children=i % 4)), {"serial": None, "hik": None})
+    hierarchical.to_hierarchical(raw, layout).write.text(str(tmp_path / "text"))
+    back = hierarchical.read_hierarchical(spark, str(tmp_path / "text"), layout, stage)
+    padded = [F.rpad(F.coalesce(F.col(c), F.lit("")), CENSUS_WIDTHS[c], " ").alias(c) for c in back.columns]
+    assert sorted(back.collect()) == sorted(raw.select(*padded).collect())
+    with pytest.raises(Exception, match="year is longer than 4"):
+        hierarchical.to_hierarchical(census({"year": "18700"}), layout).collect()
+
+
 def test_batches_with_quoted_commas_and_backslashes(spark, tmp_path):
     pattern = r"\s{2}(\w+)\s+([HP])\s+([0-9,-]+)\s+(\d+)"
     (tmp_path / "b.csv").write_text(
