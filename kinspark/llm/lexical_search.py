@@ -33,7 +33,7 @@ from kinspark.sources.stage import Stage
 
 K = 50
 SLOPE = 50  # per cent of a document's normaliser that its length makes
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20  # an item longer than this is a block of its own
 MERGE_GROUPS = 64
 
@@ -41,8 +41,9 @@ MERGE_GROUPS = 64
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEPT else 32 for b in range(256))
 
-SEGMENT = """doc_ids array<long>, lengths array<int>, terms array<binary>, held array<int>,
-    runs array<int>, run_length array<int>, run_tf array<int>, run_size array<int>, postings array<int>"""
+#: A segment's row. The packed columns are arrays of numbers in the least width that holds them (``pack``).
+PACKED = ("runs", "run_length", "run_tf", "run_size", "postings")
+SEGMENT = "doc_ids array<long>, lengths array<int>, terms array<binary>, held array<int>, " + ", ".join(f"{c} binary" for c in PACKED)
 FOUND = "item int, doc_id long, score long"
 NO_ID = (1 << 63) - 1
 
@@ -83,10 +84,22 @@ def segment(doc_ids: list, terms: list[list[bytes]]) -> dict:
 
 _ARROW = pa.schema(
     [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary()))]
-    + [(c, pa.list_(pa.int32())) for c in ("held", "runs", "run_length", "run_tf", "run_size", "postings")]
+    + [("held", pa.list_(pa.int32()))]
+    + [(c, pa.binary()) for c in PACKED]
 )
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """A byte that tells the width, then the numbers."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def unpack(packed: pa.BinaryScalar) -> np.ndarray:
+    buffer = packed.as_buffer()
+    return np.frombuffer(buffer, dtype=f"u{buffer[0]}", offset=1)
+
+
 def build_index(docs: DataFrame, stage: Stage, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The stored table of segments of all documents that have terms."""
 
@@ -95,7 +108,7 @@ def build_index(docs: DataFrame, stage: Stage, segment_bytes: int = SEGMENT_BYTE
 
         def row() -> pa.RecordBatch:
             made = segment(ids, terms)
-            columns = [pa.array([made[f.name]], type=f.type) for f in _ARROW]
+            columns = [pa.array([pack(made[f.name]) if f.name in PACKED else made[f.name]], type=f.type) for f in _ARROW]
             return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
         for batch in batches:
@@ -168,17 +181,18 @@ def visit(row: dict, items: list[np.ndarray], known: dict[bytes, int], weight: n
     """
     own = np.array([known.get(t, -1) for t in row["terms"]], np.int64)
     used = np.flatnonzero(own >= 0)
-    last_run = np.cumsum(row["runs"].astype(np.int64))
-    runs = ranges(last_run[used] - row["runs"][used], last_run[used])
+    per_term = row["runs"].astype(np.int64)
+    last_run = np.cumsum(per_term)
+    runs = ranges((last_run - per_term)[used], last_run[used])
     if not len(runs):
         return
     place = np.full(len(weight) + 1, -1)  # of a term among the used ones
     place[own[used]] = np.arange(len(used))
-    edges = np.concatenate([[0], np.cumsum(row["runs"][used])])
+    edges = np.concatenate([[0], np.cumsum(per_term[used])])
     size = row["run_size"].astype(np.int64)
     start = (np.cumsum(size) - size)[runs]
     size, tf = size[runs], row["run_tf"][runs].astype(np.int64)
-    term = np.repeat(own[used], row["runs"][used])
+    term = np.repeat(own[used], per_term[used])
     lengths, which = np.unique(row["run_length"][runs], return_inverse=True)
     m = np.array([100 - SLOPE + SLOPE * int(n) * docs // words for n in lengths], np.int64)
     strata, of_length = np.unique(m, return_inverse=True)
@@ -247,8 +261,9 @@ def best_of(spark, index: DataFrame, block: list[tuple], docs: int, words: int,
         lists = Lists(len(asked), k)
         for batch in batches:
             for at in range(batch.num_rows):
-                row = {f.name: batch.column(f.name)[at].values for f in batch.schema}
-                row = {name: v.to_pylist() if name == "terms" else v.to_numpy(zero_copy_only=False) for name, v in row.items()}
+                row = {name: unpack(batch.column(name)[at]) for name in PACKED}
+                row |= {name: batch.column(name)[at].values.to_numpy() for name in ("doc_ids", "lengths")}
+                row["terms"] = batch.column("terms")[at].values.to_pylist()
                 visit(row, [numbers for _, numbers in asked], known, weight, docs, words, lists)
         sizes = [len(s) for s in lists.scores]
         if sum(sizes):
