@@ -42,8 +42,8 @@ def chain(study: FolderStudy) -> dict[str, float]:
     steps = {
         name: timed(lambda name=name: getattr(study, name))
         for name in (
-            "census", "counties", "extract", "master", "attributes", "adults", "slaveholders",
-            "descent", "marriages", "base", "lineage", "graph", "ids",
+            "census", "counties", "extract", "master", "adults", "slaveholders", "descent",
+            "marriages", "residents", "lineage", "graph", "ids", "attributes", "base",
         )
     }
     steps["study_population"] = timed(lambda: study.stage.write("study", study.build_study_population()))

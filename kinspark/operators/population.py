@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.functions.membership import keep_candidates
 from kinspark.operators.people import ADULT_ROLES, person_attributes
 
 NO_SLAVES = "0"
@@ -49,14 +50,20 @@ def base_population(
     zones: Sequence[str] = ("KB",),
     roles: Sequence[str] | None = None,
     people: DataFrame | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Everyone recorded in the zones and years, with the attributes of their earliest record.
 
-    ``people`` is the ``person_attributes`` table of ``master`` where it already exists.
+    ``people`` is the ``person_attributes`` table of these persons at least, and ``ids`` the ``resident_ids``, where
+    they already exist. Without ``people``, only the records of the residents are looked through for it.
     """
-    ids = resident_ids(master, counties, years, zones, roles)
-    people = person_attributes(master) if people is None else people
-    return with_slaveholding(people.join(ids, "hik", "left_semi"), slaveholders)
+    if ids is None:
+        ids = resident_ids(master, counties, years, zones, roles)
+    if people is None:
+        people = person_attributes(master.join(ids, "hik", "left_semi"))
+    else:
+        people = people.join(ids, "hik", "left_semi")
+    return with_slaveholding(people, slaveholders)
 
 
 def base_population_adults(
@@ -74,6 +81,14 @@ def study_ids(lineage_graph: DataFrame) -> DataFrame:
     return lineage_graph.select(ends).distinct()
 
 
+def attributes_of(master: DataFrame, ids: DataFrame, size: int, **limits: int) -> DataFrame:
+    """``person_attributes`` of the ``size`` persons ``ids`` (a ``hik`` column, each once), and maybe of some others.
+
+    The records of other persons are left out before the window that finds each person's earliest record.
+    """
+    return person_attributes(keep_candidates(master, ids, "hik", size, **limits))
+
+
 def study_population(
     people: DataFrame, ids: DataFrame, slaveholders: DataFrame, adults: DataFrame
 ) -> DataFrame:

@@ -67,7 +67,7 @@ def _hierarchical_load(study: FolderStudy) -> DataFrame:
 
 
 def _walk(study: FolderStudy, direction: str, hops: int) -> DataFrame:
-    return lineage.walk_edges(study.descent, study.base, direction, hops, study.stage)
+    return lineage.walk_edges(study.descent, study.residents, direction, hops, study.stage)
 
 
 QUERIES: dict[str, Callable[[FolderStudy], DataFrame]] = {

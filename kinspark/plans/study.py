@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinspark.operators import families, kinship, lineage, people, population
 from kinspark.operators.person_records import person_records
 from kinspark.plans import census_inputs
-from kinspark.sources import codebook, hierarchical
+from kinspark.sources import codebook, files, hierarchical
 from kinspark.sources.schemas import CENSUS_WIDTHS
 from kinspark.sources.stage import Stage
 from kinspark.sources.tables import replace_table_ordered
@@ -41,6 +43,9 @@ class Design:
 class Study:
     """One run. Cached properties are the written tables, made on first use; ``build_`` methods
     return the step itself, not yet written.
+
+    With a ``run`` name the study can be resumed: a later one of the same run, inputs and design reads the tables
+    that are finished and goes on from there. Its inputs must be stored tables then.
     """
 
     def __init__(
@@ -51,20 +56,31 @@ class Study:
         slaveholders: DataFrame,
         carried: DataFrame | None = None,
         design: Design = Design(),
+        run: str | None = None,
     ):
         self.spark = spark
-        self.stage = Stage(spark)
+        inputs = [table for region in regions for table in (region.census, region.batches)]
+        inputs += [counties, slaveholders, *([] if carried is None else [carried])]
+        self.stage = Stage(spark, run, version_of(spark, inputs, design) if run else "")
         self.design = design
         self.regions = list(regions)
         self.counties = counties
         self.slaveholders = slaveholders
         self.carried = carried
 
+    def _bucketed_by_record(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Extracts are shuffled once, when they are written: all by record and into equally many buckets.
+
+        Rows of one record then meet without another shuffle, whatever extracts they come from.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.stage.step(name, make, "personcode", buckets)
+
     @cached_property
     def extracts(self) -> list[DataFrame]:
         return [
-            self.stage.save("extract", self.build_extract(region.census, region.batches))
-            for region in self.regions
+            self._bucketed_by_record(f"extract_{i:02d}", lambda r=region: self.build_extract(r.census, r.batches))
+            for i, region in enumerate(self.regions)
         ]
 
     def build_extract(self, census: DataFrame, batches: DataFrame) -> DataFrame:
@@ -73,30 +89,26 @@ class Study:
 
     @cached_property
     def master(self) -> DataFrame:
-        return self.stage.save("master", self.build_master())
+        return self.stage.step("master", self.build_master)
 
     def build_master(self) -> DataFrame:
         return people.master_census(self.extracts)
 
-    @cached_property
-    def attributes(self) -> DataFrame:
-        return self.stage.save("attributes", people.person_attributes(self.master))
-
     @cached_property
     def sexes(self) -> DataFrame:
-        return self.stage.save("sexes", people.person_sexes(self.master))
+        return self.stage.step("sexes", lambda: people.person_sexes(self.master))
 
     @cached_property
     def adults(self) -> DataFrame:
-        return self.stage.save("adults", people.adult_hiks(self.master))
+        return self.stage.step("adults", lambda: people.adult_hiks(self.master))
 
     @cached_property
     def children(self) -> DataFrame:
-        return self.stage.save("children", people.child_hiks(self.master))
+        return self.stage.step("children", lambda: people.child_hiks(self.master))
 
     @cached_property
     def _descent(self) -> DataFrame:
-        return self.stage.save("descent", kinship.descent_links(self.master))
+        return self.stage.step("descent", lambda: kinship.descent_links(self.master))
 
     @property
     def descent(self) -> DataFrame:
@@ -105,43 +117,52 @@ class Study:
     @cached_property
     def marriages(self) -> DataFrame:
         """Every edge coded '0', apart from the descent edges, so that the walk does not read it."""
+        return self.stage.step("marriages", self._build_marriages)
+
+    def _build_marriages(self) -> DataFrame:
         marriages = kinship.marriage_links(self.master, self.sexes)
-        return self.stage.save(
-            "marriages", kinship.marriages_with_zero_coded(self._descent, marriages)
-        )
+        return kinship.marriages_with_zero_coded(self._descent, marriages)
 
     @property
     def links(self) -> DataFrame:
         """The kinship graph in its two written parts."""
         return self.descent.unionByName(self.marriages)
 
+    @cached_property
+    def residents(self) -> DataFrame:
+        """The persons of the base population."""
+        return self.stage.step("residents", self._build_residents)
+
+    def _build_residents(self) -> DataFrame:
+        of = self.design
+        return population.resident_ids(self.master, self.counties, of.years, of.zones, of.roles)
+
     @cached_property
     def base(self) -> DataFrame:
-        return self.stage.save("base", self.build_base())
+        return self.stage.step("base", self.build_base)
 
     def build_base(self) -> DataFrame:
         return population.base_population(
-            self.master,
-            self.counties,
-            self.slaveholders,
-            years=self.design.years,
-            zones=self.design.zones,
-            roles=self.design.roles,
-            people=self.attributes,
+            self.master, self.counties, self.slaveholders, people=self.attributes, ids=self.residents
         )
 
+    @cached_property
+    def _walked(self) -> lineage.Lineage:
+        return self.build_lineage()
+
     @cached_property
     def lineage(self) -> lineage.Lineage:
-        built = self.build_lineage()
-        links = built.links
-        if self.design.adult_links_only:
-            links = lineage.adult_links_only(links, self.adults)
-        return lineage.Lineage(self.stage.save("lineage_links", links), built.members)
+        links = self.stage.step("lineage_links", self._build_lineage_links)
+        return lineage.Lineage(links, self.stage.step("lineage_members", lambda: self._walked.members))
+
+    def _build_lineage_links(self) -> DataFrame:
+        links = self._walked.links
+        return lineage.adult_links_only(links, self.adults) if self.design.adult_links_only else links
 
     def build_lineage(self, rounds: int | None = None) -> lineage.Lineage:
         return lineage.bounded_lineage(
             self.descent,
-            self.base,
+            self.residents,
             self.stage,
             rounds=self.design.rounds if rounds is None else rounds,
             hops=self.design.hops,
@@ -150,30 +171,46 @@ class Study:
 
     @cached_property
     def graph(self) -> DataFrame:
-        return self.stage.save("graph", lineage.linked_families(self.marriages, self.lineage.links))
+        return self.stage.step("graph", lambda: lineage.linked_families(self.marriages, self.lineage.links))
 
     @cached_property
     def ids(self) -> DataFrame:
-        return self.stage.save("ids", population.study_ids(self.graph))
+        return self.stage.step("ids", lambda: population.study_ids(self.graph))
+
+    def wanted(self) -> list[DataFrame]:
+        """Tables of the persons whose attributes are wanted."""
+        return [self.residents, self.ids]
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        """The attributes of both populations' persons, and of few others."""
+        return self.stage.step("attributes", self._build_attributes)
+
+    def _build_attributes(self) -> DataFrame:
+        stacked = reduce(DataFrame.unionByName, self.wanted()).filter(F.col("hik").isNotNull())
+        ids = self.stage.step("wanted", stacked.distinct)
+        return population.attributes_of(self.master, ids, ids.count())
 
     def build_study_population(self) -> DataFrame:
         return population.study_population(self.attributes, self.ids, self.slaveholders, self.adults)
 
     def write_tables(self, folder: str) -> None:
-        """Replace the result tables in ``folder``, laid out by the keys they are looked up by."""
+        """Replace the result tables in ``folder``, laid out by the keys they are looked up by.
+
+        Edges are looked up by kind and source in their order, by target through Bloom filters.
+        """
         extracts = [(f"extract_{i:02d}", table, ["personcode"]) for i, table in enumerate(self.extracts)]
-        for name, table, order in (
+        for name, table, order, *lookup in (
             *extracts,
             ("master", self.master, ["personcode"]),
-            ("links", self.links, ["src", "edg", "tgt"]),
+            ("links", self.links, ["edg", "src", "tgt"], "tgt"),
             ("adults", self.adults, ["hik"]),
             ("children", self.children, ["hik"]),
             ("base_population", self.base, ["hik"]),
-            ("linked_families", self.graph, ["src", "edg", "tgt"]),
+            ("linked_families", self.graph, ["edg", "src", "tgt"], "tgt"),
             ("study_population", self.build_study_population(), ["hik"]),
         ):
-            replace_table_ordered(table, f"{folder}/{name}", order)
-
+            replace_table_ordered(table, f"{folder}/{name}", order, lookup)
 
     def release(self) -> None:
         """Delete the staged tables; the study is used up."""
@@ -189,16 +226,16 @@ class Study:
 class FolderStudy(Study):
     """The study of the census-shaped inputs derived from one folder of driver tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, run: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.stage = Stage(spark)
         self.design = Design()
+        self.stage = Stage(spark, run, _digest(versions(spark, sf_dir), self.design) if run else "")
         self.carried = None
 
     @cached_property
     def census(self) -> DataFrame:
-        return self.stage.save("census", census_inputs.census(self.spark, self.sf_dir))
+        return self.stage.step("census", lambda: census_inputs.census(self.spark, self.sf_dir))
 
     @cached_property
     def census_text(self) -> str:
@@ -224,11 +261,11 @@ class FolderStudy(Study):
 
     @cached_property
     def counties(self) -> DataFrame:
-        return self.stage.save("counties", census_inputs.counties(self.census))
+        return self.stage.step("counties", lambda: census_inputs.counties(self.census))
 
     @cached_property
     def extract(self) -> DataFrame:
-        return self.stage.save("extract", self.build_extract(self.census, self.batches))
+        return self._bucketed_by_record("extract", lambda: self.build_extract(self.census, self.batches))
 
     @property
     def extracts(self) -> list[DataFrame]:
@@ -236,7 +273,32 @@ class FolderStudy(Study):
 
     @cached_property
     def slaveholders(self) -> DataFrame:
-        return self.stage.save("slaveholders", census_inputs.slaveholders(self.master))
+        return self.stage.step("slaveholders", lambda: census_inputs.slaveholders(self.master))
+
+    def wanted(self) -> list[DataFrame]:
+        """With the alternative base population."""
+        adults = population.resident_ids(self.master, self.counties, (1870, 1880), roles=people.ADULT_ROLES)
+        return [*super().wanted(), adults]
+
+
+# Raised when a step's result changes, so that no run mixes tables of two versions.
+STEPS_VERSION = 1
+
+
+def _digest(*parts: object) -> str:
+    return hashlib.md5(repr((STEPS_VERSION, *parts)).encode()).hexdigest()
+
+
+def version_of(spark: SparkSession, inputs: Sequence[DataFrame], design: Design) -> str:
+    """What a run's steps are made from: the inputs' files and plans, and the design."""
+    parts: list[object] = []
+    for table in inputs:
+        paths = table.inputFiles()
+        if not paths:
+            raise ValueError("a study with a run name needs stored tables as inputs")
+        plan = table._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+        parts.append((plan, [file for path in sorted(paths) for file in files.describe(spark, path)]))
+    return _digest(parts, design)
 
 
 _studies: dict[tuple[str, str], tuple[list, FolderStudy]] = {}
@@ -244,13 +306,7 @@ _studies: dict[tuple[str, str], tuple[list, FolderStudy]] = {}
 
 def versions(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
     """What tells whether the input tables are still those a study was made from."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for table in ("orders", "customer"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
-        files = path.getFileSystem(conf)
-        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
-    return found
+    return [file for table in ("orders", "customer") for file in files.describe(spark, f"{sf_dir}/{table}.parquet")]
 
 
 def study_of(spark: SparkSession, sf_dir: str) -> FolderStudy:

@@ -210,6 +210,70 @@ def test_replace_table(spark, tmp_path):
     assert tables.read_table(spark, path).count() == 3
 
 
+def test_a_failed_replacement_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(10), path)
+    half = spark.range(0, 1000, 1, 8).selectExpr("if(id < 900, id, raise_error('stopped')) as id")
+    with pytest.raises(Exception, match="stopped"):
+        tables.replace_table(half, path)
+    assert tables.read_table(spark, path).count() == 10
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_table_made_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(10), path)
+    for n in (9, 8):
+        tables.replace_table(tables.read_table(spark, path).filter("id > 0").selectExpr("id - 1 as id"), path)
+        assert sorted(r.id for r in tables.read_table(spark, path).collect()) == list(range(n))
+
+
+def test_a_replacement_that_stopped_between_its_renames(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(10), path)
+    rename = tables.files.rename
+    with monkeypatch.context() as patch:
+        patch.setattr(tables.files, "rename", lambda s, old, new: rename(s, old, new) if ".new" not in old else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tables.replace_table(spark.range(3), path)
+    assert tables.read_table(spark, path).count() == 10
+    (tmp_path / "t").rename(tmp_path / "t.old")  # the driver was lost
+    assert tables.read_table(spark, path).count() == 10
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    tables.replace_table(spark.range(3), path)
+    assert tables.read_table(spark, path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def rows_scanned(df) -> int:
+    """Rows that the Parquet scan of a plan hands on: those of the row groups it has to read."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    plan = leaves.apply(0)
+    plan = plan.executedPlan().collectLeaves().apply(0) if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    """100 row groups of some 2,000 edges, in the order of sources; targets are scattered."""
+    edges = spark.range(200_000).selectExpr(
+        "lpad(id, 8, '0') src", "md5(cast(id as string)) tgt", "cast(id % 3 as string) edg"
+    )
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.setInt("parquet.block.row.count.limit", 2_000)
+    try:
+        for name, lookup in (("plain", []), ("edges", ["tgt"])):
+            tables.replace_table_ordered(edges, str(tmp_path / name), ["edg", "src", "tgt"], lookup)
+    finally:
+        conf.unset("parquet.block.row.count.limit")
+    wanted = {name: f"{name} = '{edges.first()[name]}'" for name in ("src", "tgt")}
+    read = {name: tables.read_table(spark, str(tmp_path / name)) for name in ("plain", "edges")}
+    scanned = {(name, key): rows_scanned(table.filter(test)) for name, table in read.items() for key, test in wanted.items()}
+    assert scanned["plain", "tgt"] == 200_000
+    assert scanned["edges", "tgt"] <= 8_000 and scanned["edges", "src"] <= 8_000
+    assert rows_scanned(read["edges"].filter("edg = '1'")) <= 75_000
+    assert read["edges"].filter(wanted["tgt"]).count() == 1
+
+
 def test_replace_table_ordered(spark, tmp_path):
     path = str(tmp_path / "t")
     shuffled = spark.range(10_000).withColumn("k", F.hash("id")).repartition(7)
