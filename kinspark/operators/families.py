@@ -53,31 +53,31 @@ def special_families(
 ) -> list[Row]:
     """Counts of the NULL family and of the largest families: a short list, by construction.
 
-    A count-min sketch of two rows of counters comes first: every record is counted once in each row, under a
-    hash of its family code. A family is large only if both its counters are, and fewer than ``listed``
-    counters of a row can be; so families whose counters are large are few, and they alone are counted exactly.
+    A count-min sketch goes first: records are counted under a hash of their family code. Fewer than ``listed``
+    counters can be large, and a large family's is. Where there are such counters, their records are counted under a
+    second hash, and only families that are large by both are counted exactly.
     """
     counts = (F.count_if(~F.col("unmc")).alias("adults"), F.count_if("unmc").alias("children"))
     size = F.col("adults") + F.col("children")
-    width = SKETCH_WIDTH * listed
-    counter = [F.pmod(F.xxhash64("famcode", F.lit(row)), F.lit(width)) for row in range(2)]
-    places = F.array(*(F.struct(F.lit(row).alias("row"), c.alias("counter")) for row, c in enumerate(counter)))
-    unknown = F.array(F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("counter")))
-    placed = persons.select("unmc", F.inline(F.when(F.col("famcode").isNull(), unknown).otherwise(places)))
-    sketch = placed.groupBy("row", "counter").agg(*counts)
-    # One row of the sketch is at most ``width`` rows here.
-    least = F.greatest(F.lit(large), F.sum(size).over(Window.partitionBy("row")) / F.lit(listed))
-    sketch = sketch.withColumn("least", least)
-    found = sketch.filter(F.col("row").isNull() | (size > F.col("least"))).collect()
-    special = [Row(famcode=None, adults=r.adults, children=r.children) for r in found if r.row is None]
-    heavy = [[r for r in found if r.row == row] for row in range(2)]
-    if not all(heavy):
-        return special
-    candidates = persons.select("famcode", "unmc")
-    for row, held in enumerate(heavy):
-        names = persons.sparkSession.createDataFrame([(r.counter,) for r in held], "counter long")
-        candidates = candidates.join(F.broadcast(names), counter[row] == F.col("counter"), "left_semi")
-    families = candidates.groupBy("famcode").agg(*counts).filter(size > heavy[0][0].least)
+    candidates, special, least = persons.select("famcode", "unmc"), [], None
+    for row in range(2):
+        counter = F.pmod(F.xxhash64("famcode", F.lit(row)), F.lit(SKETCH_WIDTH * listed))
+        counter = F.when(F.col("famcode").isNotNull(), counter)
+        sketch = candidates.groupBy(counter.alias("counter")).agg(*counts)
+        if least is None:
+            known = Window.partitionBy(F.col("counter").isNull())  # at most as many rows as there are counters
+            sketch = sketch.withColumn("least", F.greatest(F.lit(large), F.sum(size).over(known) / F.lit(listed)))
+        else:
+            sketch = sketch.withColumn("least", F.lit(least))
+        found = sketch.filter(F.col("counter").isNull() | (size > F.col("least"))).collect()
+        special += [Row(famcode=None, adults=r.adults, children=r.children) for r in found if r.counter is None]
+        heavy = [(r.counter,) for r in found if r.counter is not None]
+        if not heavy:
+            return special
+        least = next(r.least for r in found if r.counter is not None)
+        names = persons.sparkSession.createDataFrame(heavy, "held long")
+        candidates = candidates.join(F.broadcast(names), counter == F.col("held"), "left_semi")
+    families = candidates.groupBy("famcode").agg(*counts).filter(size > F.lit(least))
     return special + families.collect()
 
 
