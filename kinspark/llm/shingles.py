@@ -1,7 +1,7 @@
 """Hashes of words and word shingles of whole Arrow batches, without a Python object per word.
 
-Words are maximal runs of anything but ASCII white space. A word's hash is a polynomial over its bytes,
-read off running sums of the whole buffer, and mixed; a shingle's hash combines those of its words.
+Words are maximal runs of anything but ASCII white space. A word's hash takes its bytes eight at a time and mixes
+after each, so that no two spellings cancel out; a shingle's hash combines those of its words.
 """
 
 from __future__ import annotations
@@ -11,25 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text whose running sums are held at a time; cut between words.
-SEGMENT = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) in 64 bits."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        steps = np.full(max(n, SEGMENT + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        held = _powers[base] = np.multiply.accumulate(steps)
-    return held[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +26,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def first_bytes(eight: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of eight bytes the first n (1 to 8; more count as 8), the others zero."""
+    return eight & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.clip(n, 1, 8).astype(np.uint64)))
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (nulls: empty) and the offsets of each."""
     texts = texts.cast(pa.large_binary())
@@ -66,19 +62,15 @@ class Words:
         last[:-1] &= ~inside[1:] | begins[1:-1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.starts, offsets)
-        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
-        at = 0
-        while at < len(self.starts):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + SEGMENT, side="right")))
-            part = data[low : self.ends[to - 1]]
-            values = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
-            sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(values * powers(_BASE, len(part)), out=sums[1:])
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
-            own = (sums[e] - sums[s]) * powers(_INVERSE, len(part) + 1)[s]
-            self.hashes[at:to] = mix(own ^ ((e - s).astype(np.uint64) << np.uint64(48)))
-            at = to
+        eight = eights(_LOWER[data] if lower else data)
+        lengths = self.ends - self.starts
+        self.hashes = mix(lengths.astype(np.uint64))
+        left, done = np.arange(len(lengths)), 0
+        while len(left):
+            part = first_bytes(eight[self.starts[left] + done], lengths[left] - done)
+            self.hashes[left] = mix(self.hashes[left] ^ part)
+            done += 8
+            left = left[lengths[left] > done]
 
     def shingles(self, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words, and their offsets per text.

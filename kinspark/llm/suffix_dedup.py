@@ -34,35 +34,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import discard, documents, settle
-from kinspark.llm.shingles import mix, powers
+from kinspark.llm.shingles import eights, first_bytes, mix
 from kinspark.sources.stage import Stage
 
 LENGTH = 400
 #: Triggers lie at most so many bytes apart; a string needs SPREAD + GRAM bytes at least.
 SPREAD = 192
-GRAM = 16
+GRAM = 16  # a power of two
 STRETCH = 16
 #: String starts whose triggers are looked for at a time.
 SEGMENT = 1 << 19
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
 
 
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of strings from those of two parts that cover them."""
+    x = left * U(0x9E3779B97F4A7C15) + right * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
+
+
 class Content:
-    """Hashes of any substrings of a text."""
+    """Hashes of any substrings of a text.
+
+    The hash of a block of 2^k bytes pairs those of its halves, and a string's those of the blocks at its two ends,
+    which cover it. Each pairing mixes, so that differences cannot cancel out.
+    """
 
     def __init__(self, data: bytes):
-        values = np.frombuffer(data, dtype=np.uint8).astype(U) + U(1)
-        self.n = len(values)
-        self.sums = np.zeros(self.n + 1, dtype=U)
-        np.cumsum(values * powers(BASE, self.n), out=self.sums[1:])
+        self.n = len(data)
+        self.eights = eights(np.frombuffer(data, dtype=np.uint8))
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def block(self, k: int) -> np.ndarray:
+        """Of the 2^k bytes (8 at least) from each place on."""
+        if k not in self.blocks:
+            known = max((j for j in self.blocks if j < k), default=None)
+            made = mix(self.eights[: max(0, self.n - 7)]) if known is None else self.blocks[known]
+            for half in (1 << j for j in range(3 if known is None else known, k)):
+                made = paired(made[:-half], made[half:])
+            self.blocks[k] = made
+        return self.blocks[k]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the bytes from start to end - 1; places beyond the text count as its ends."""
         start, end = np.clip(start, 0, self.n), np.clip(end, 0, self.n)
-        own = (self.sums[end] - self.sums[start]) * powers(INVERSE, self.n + 1)[start]
-        return mix(own + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        length = end - start
+        found = np.zeros(len(start), dtype=U)
+        size = np.frexp(length)[1] - 1  # of the largest block that fits
+        short = (length > 0) & (length < 8)
+        found[short] = mix(first_bytes(self.eights[start[short]], length[short]))
+        for k in np.unique(size[length >= 8]).tolist():
+            own = size == k
+            block = self.block(k)
+            found[own] = paired(block[start[own]], block[end[own] - (1 << k)])
+        return mix(found + length.astype(U) * U(0xD6E8FEB86659FD93))
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """trigger, first start, last start: strings of one trigger, in runs of starts."""
@@ -70,7 +96,7 @@ class Content:
         for low in range(0, self.n - length + 1, SEGMENT):
             high = min(low + SEGMENT, self.n - length + 1)
             at = np.arange(low, high + SPREAD - 1)
-            grams = self.hash(at, at + GRAM)
+            grams = mix(self.block(GRAM.bit_length() - 1)[low : high + SPREAD - 1])
             least = (grams & ~U(0xFFFFF)) | (at - low).astype(U)  # equal grams: the first
             width = 1
             while width * 2 <= SPREAD:

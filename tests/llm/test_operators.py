@@ -226,6 +226,52 @@ def test_repeated_substrings_go(docs):
     assert rows(suffix_dedup.dedup(docs)) == expected
 
 
+def cancelling():
+    """Two printable strings of 163 bytes that have one polynomial hash modulo 2^64, whatever its odd base."""
+    product = np.array([1])
+    for power, times in ((32, 2), (16, 4), (8, 3), (4, 2), (2, 1)):
+        for _ in range(times):
+            product = np.convolve(product, [-1, *[0] * (power - 1), 1])
+    return tuple("".join(chr(70 + max(int(c) * sign, 0)) for c in product) for sign in (1, -1))
+
+
+def test_strings_that_cancel_out_are_told_apart(spark):
+    a, b = cancelling()
+    base = 0x9E3779B97F4A7C15
+    sums = {sum((ord(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(x)) % (1 << 64) for x in (a, b)}
+    assert a != b and len(sums) == 1 and a.isprintable() and b.isprintable()
+    r = random.Random(9)
+    left, right = ("".join(r.choice("abcdefgh") for _ in range(330)) for _ in range(2))
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    texts = [left + a + right, left + b + right, thue, thue.translate({97: 98, 98: 97}), thue[:1500] + "c" + thue[1500:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.dedup(df).collect()}
+    assert got[0].n_removed == got[1].n_removed == 0
+    expected = plain_cut([t.encode() for t in texts], 400)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == expected
+
+
+def test_hashes_of_substrings():
+    data = "".join(random.Random(3).choice("ab") for _ in range(700)).encode() * 2
+    content = suffix_dedup.Content(data)
+    r = random.Random(4)
+    ranges = [(s, r.randint(s, 700)) for s in (r.randrange(700) for _ in range(2000))]
+    start, end = (np.array([x[i] for x in ranges]) for i in range(2))
+    hashes = content.hash(start, end).tolist()
+    assert content.hash(start + 700, end + 700).tolist() == hashes
+    by_text = defaultdict(set)
+    for (s, e), h in zip(ranges, hashes):
+        by_text[data[s:e]].add(h)
+    assert all(len(x) == 1 for x in by_text.values()) and len({h for x in by_text.values() for h in x}) == len(by_text)
+
+
+def test_words_that_cancel_out_do_not_link(spark):
+    a, b = cancelling()
+    rows = [(1, f"{a} b c"), (2, f"{b} b c"), (3, f"{a} b c"), (4, "y" * 300), (5, "y" * 301)]
+    found = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_periodic_and_self_repeating_texts(spark):
     texts = ["ab" * 500, "x" * 401, "x" * 400, "".join(map(str, range(400))), "".join(map(str, range(150, 400))), "é" * 300 + "q" + "é" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
