@@ -6,17 +6,17 @@ Long texts are compressed in blocks (all of them), so that the dictionary and no
 matters; the sizes add up. The score is the margin over the second language; below ``min_margin`` the
 prediction is marked as rejected.
 
-Null texts and texts without a letter are ``und`` with score 0. Null ids count as the empty id for the
+Null texts and texts without a letter (Unicode category L) are ``und`` with score 0. Null ids count as the empty id for the
 hold-out rule. Repeated rows are predicted alike. Without any labelled text everything is ``und``. Only
 the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ DICTIONARY_BYTES = 32_000
 MAX_LANGUAGES = 512
 BLOCK_BYTES = 4_000
 LEVEL = 7
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -201,6 +201,23 @@ def normalise(manifest: DataFrame, root: str, target: str) -> DataFrame:
     return manifest.select("archive").mapInArrow(rewritten, INDEX)
 
 
+def read_sidecars(archives: DataFrame, target: str) -> DataFrame:
+    """The index of the listed archives (column ``archive``) from the sidecar files beside them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = file_system(target)
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{folder}/{archive}.index", compression=None) as sidecar:
+                    rows = [(archive, *json.loads(line)) for line in sidecar.read().splitlines()]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                if rows:
+                    columns = [pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["archive", "offset", "length", "record_id", "record_type"])
+
+    return archives.select("archive").mapInArrow(read, INDEX)
+
+
 def parsed(data: bytes) -> tuple:
     """RECORDS of one record; the digest of a payload that is there is computed anew and must agree."""
     end = data.index(BLANK)

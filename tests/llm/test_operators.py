@@ -320,6 +320,13 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+@pytest.mark.parametrize("text", ["½ 12 ²", "① Ⅷ ٣", "_ . !", "", None])
+def test_texts_without_a_letter(text):
+    classifier = language_id.Classifier({"en": b"the cat and the dog", "de": b"der hund und die katze"})
+    assert classifier.predict(text) == ("und", 0.0)
+    assert classifier.predict("ª the dog")[0] == "en" and classifier.predict("日")[0] in ("en", "de")
+
+
 def test_nothing_to_learn_from(spark, none):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language_id.identify(df, language_id.dictionaries(df)).first().lang_pred == "und"
@@ -508,6 +515,16 @@ def test_archives_round_trip(spark):
     assert short.count() == 0
 
 
+def test_sidecars_hold_the_index(spark, stage):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i % 3}</p>" * 40) for i in range(20)], "page_id long, url string, html string")
+    raw, whole = stage.new_path("monolithic"), stage.new_path("members")
+    manifest = stage.save("manifest", warc.write_archives(pages.repartition(3), raw, 0))
+    index = stage.save("index", warc.normalise(manifest, raw, whole))
+    beside = warc.read_sidecars(index.select("archive").distinct(), whole)
+    assert beside.columns == index.columns and rows(beside) == rows(index) and index.count() == 20
+    assert rows(warc.read_records(beside, whole)) == rows(warc.read_records(index, whole))
+
+
 def test_gzip_streams_of_several_members():
     import gzip
     import io
