@@ -321,4 +321,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> Dat
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir))
+    return dedup(documents(spark, sf_dir)).withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
