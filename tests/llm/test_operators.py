@@ -393,6 +393,71 @@ def test_quality_of_labelled_documents(spark):
     assert all(r.kept == (r.doc_id % 3 > 0) for r in out if r.doc_id is not None)
 
 
+def plain_posteriors(rows):
+    """(site_rate, path_rate, quality) of rows (site, path, p), level by level."""
+    mean = sum(p for *_, p in rows) / len(rows)
+    sites, paths = defaultdict(list), defaultdict(list)
+    for site, path, p in rows:
+        sites[site].append(p)
+        paths[site, path].append(p)
+
+    def weight(groups, prior):
+        n = sum(map(len, groups.values()))
+        if len(groups) < 2:
+            return 100.0
+        rate = {key: sum(own) / len(own) for key, own in groups.items()}
+        within = sum(len(own) * rate[key] * (1 - rate[key]) for key, own in groups.items()) / n
+        between = sum(len(own) * (rate[key] - prior(key)) ** 2 for key, own in groups.items())
+        variance = (between - len(groups) * within) / n
+        return min(1e6, max(1.0, within / variance)) if variance > 0 else 1e6
+
+    def logit(p):
+        p = min(max(p, 1e-3), 1 - 1e-3)
+        return math.log(p / (1 - p))
+
+    k = weight(sites, lambda key: mean)
+    site_rate = {site: (sum(own) + k * mean) / (len(own) + k) for site, own in sites.items()}
+    k = weight(paths, lambda key: site_rate[key[0]])
+    out = []
+    for site, path, p in rows:
+        own = paths[site, path]
+        others = (sum(own) - p + k * site_rate[site]) / (len(own) - 1 + k)  # the document itself is left out
+        odds = logit(others) + logit(p) - logit(mean)
+        out.append((site_rate[site], others, 1 / (1 + math.exp(-odds))))
+    return out
+
+
+def test_posteriors_of_sites_and_paths(spark):
+    """Noisy texts on sites of very different sizes and rates, against the plain rule."""
+    r = random.Random(8)
+    good, bad = ["a plain sentence about nothing", "more words of this kind"], ["BUY!!! $$$ NOW", "win $$$ a word"]
+    data = []
+    for i in range(600):
+        site = r.choice(["big"] * 12 + ["clean"] * 5 + ["spam"] * 5 + [None] * 2 + [f"small{r.randrange(12)}"])
+        share = {"clean": 0.95, "spam": 0.1}.get(site, 0.6)
+        kind = r.random() < share
+        text = " ".join(r.choice(good if (kind if r.random() < 0.8 else not kind) else bad) for _ in range(r.randint(1, 6)))
+        data.append((i, text, site, r.choice(["x", "y", None]), int(kind)))
+    df = spark.createDataFrame([d[:4] for d in data], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(d[0], d[4]) for d in data if d[0] % 2], "doc_id long, quality int")
+    out = {o.doc_id: o for o in quality_classifier.scored(df, labels).collect()}
+    expected = plain_posteriors([(site, path, out[i].evidence) for i, _, site, path, _ in data])
+    for (i, *_), (site_rate, path_rate, quality) in zip(data, expected):
+        o = out[i]
+        assert (o.site_rate, o.path_rate, o.quality) == pytest.approx((site_rate, path_rate, quality), abs=1e-9)
+        assert o.kept == (o.quality >= 0.5)
+    # A sparse site keeps close to the rate of all, a large one goes its own way.
+    mean = sum(o.evidence for o in out.values()) / len(out)
+    own = defaultdict(list)
+    for i, _, site, _, _ in data:
+        own[site].append(out[i].evidence)
+    shrunk = {site: (out[next(d[0] for d in data if d[2] == site)].site_rate - mean) / (sum(p) / len(p) - mean) for site, p in own.items()}
+    assert all(0 <= shrunk[site] < shrunk["spam"] for site, p in own.items() if len(p) < 6)
+    # With the labels' sites, held-out documents are told apart better than by their texts alone.
+    right = {name: sum((getattr(out[d[0]], name) >= 0.5) == d[4] for d in data if d[0] % 2 == 0) for name in ("evidence", "quality")}
+    assert right["quality"] >= right["evidence"]
+
+
 def test_quality_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_classifier.scored(docs, labels).filter("kept").count() == docs.count()
