@@ -25,7 +25,7 @@ ids that are null aside; repeated rows are in one component. Only the id and tex
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +229,28 @@ def possible(a: str, b: str, percent: int) -> F.Column:
     return F.expr(sizes(a, b, percent)) & (differ(a, b) <= F.expr(most))
 
 
+def neighbours(posts: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """(u, v, k): every class and the one before it in each of its lists, in several orders.
+
+    A list up to STRETCH is dealt out once and sorted in each order; a longer one is cut anew for each.
+    """
+
+    def dealt(lists: DataFrame, cut: int, orders: Sequence[int]) -> DataFrame:
+        stretch = F.pmod(F.xxhash64("cls", F.lit(cut)), F.ceil(F.coalesce("length", F.lit(1)) / STRETCH))
+        lists = lists.withColumn("stretch", stretch).withColumn("a", F.struct("cls", "n"))
+        for k in orders:
+            order = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
+            before = F.lag("a").over(order)
+            lists = lists.withColumn(f"b{k}", before if k == cut else F.when(F.col("length").isNull(), before))
+        met = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("b")) for k in orders]))
+        pairs = lists.select("a", met.alias("met")).select("a", "met.k", "met.b").filter(F.expr(sizes("a", "b", percent)))
+        return pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), "k")
+
+    found = [dealt(posts.join(long, "token", "left"), 0, range(ORDERS))]
+    found += [dealt(posts.join(long, "token"), k, [k]) for k in range(1, ORDERS)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, cls, n) of every row, and (node, label) of the classes that link with another."""
     stage = Stage(docs.sparkSession)
@@ -239,25 +261,17 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
     ends = stage.save("shared", ends.select("token"))  # stored, so that the join with it can split a frequent shingle
     posts = posts.select("cls", "token", "n").join(ends, "token").distinct()
-    posts = stage.save("lists", posts)
+    posts = stage.save("posts", posts)
     some = posts.select("cls").distinct()
     named = head.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = stage.save("named", named.join(some, "cls", "left_semi"))
     settle(docs.sparkSession)
-    lengths = stage.save("lengths", posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")))
-    posts = stage.save("posts", posts.join(lengths, "token"))
-    discard(stage, ("heads", "named", "posts"))
+    # Few lists are longer than a stretch, so the lists need no shuffle to learn it.
+    long = posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") > STRETCH)
+    long = stage.save("long", long)
+    discard(stage, ("heads", "named", "posts", "long"))
     settle(docs.sparkSession)
-    # Every class and each of its neighbours, in several orders of the lists.
-    near = []
-    for k in range(ORDERS):
-        stretch = F.pmod(F.xxhash64("cls", F.lit(k)), F.greatest(F.lit(1), F.ceil(F.col("length") / STRETCH)))
-        order = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
-        row = F.struct("cls", "n")
-        pairs = posts.withColumn("stretch", stretch).select(row.alias("a"), F.lag(row).over(order).alias("b"))
-        pairs = pairs.filter(F.expr(sizes("a", "b", percent)))
-        near.append(pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.lit(k).alias("k")))
-    near = functools.reduce(DataFrame.unionByName, near).distinct()
+    near = neighbours(posts, long, percent).distinct()
     a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
     near = near.join(a, "u").join(b, "v").filter(possible("a", "b", percent))
     # The fewer bits differ, the more promising the pair.
