@@ -157,7 +157,7 @@ def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataF
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cls, tokens (sorted, see ``written``) of the wanted classes, each named by one id of its documents."""
+    """cls, tokens (sorted, see ``written``) of the wanted classes, each named by one id and text of its documents."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +168,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     [pa.array(signatures(hashes, offsets)), pa.array(rows, type=pa.binary())], names=["cls", "tokens"]
                 )
 
-    ids = wanted.select(F.col("doc_id").alias("wanted_id"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(made, "cls long, tokens binary")
-    # Other texts may have the same id, and the same text may be there twice.
-    return sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    # Repeated rows are made one while they are texts, which are much smaller than their sets.
+    texts = docs.select(F.struct("doc_id", text_hash()).alias("one"), "text")  # structs are equal where their nulls are
+    texts = texts.join(wanted.select("one"), "one", "left_semi").dropDuplicates(["one"])
+    return texts.select("text").mapInArrow(made, "cls long, tokens binary")
 
 
 def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
@@ -192,10 +191,10 @@ def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame, size: int, perce
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
 
-    pairs = stage.save("pairs", pairs)
+    pairs = stage.save("pairs", pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     settle(docs.sparkSession)
     classes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = stage.save("wanted", named.select("cls", "doc_id").join(classes, "cls"))
+    wanted = stage.save("wanted", named.select("cls", "one").join(classes, "cls"))
     sets = stage.save("sets", whole_sets(docs, wanted, size))
     df = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
     df = df.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
@@ -263,7 +262,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     posts = posts.select("cls", "token", "n").join(ends, "token").distinct()
     posts = stage.save("posts", posts)
     some = posts.select("cls").distinct()
-    named = head.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    named = head.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = stage.save("named", named.join(some, "cls", "left_semi"))
     settle(docs.sparkSession)
     # Few lists are longer than a stretch, so the lists need no shuffle to learn it.
