@@ -236,13 +236,15 @@ def neighbours(posts: DataFrame, long: DataFrame, percent: int) -> DataFrame:
 
     def dealt(lists: DataFrame, cut: int, orders: Sequence[int]) -> DataFrame:
         stretch = F.pmod(F.xxhash64("cls", F.lit(cut)), F.ceil(F.coalesce("length", F.lit(1)) / STRETCH))
-        lists = lists.withColumn("stretch", stretch).withColumn("a", F.struct("cls", "n"))
+        # Dealt out before the orders are made, so that neither they nor copies of columns travel.
+        lists = lists.select("cls", "n", "token", "length", stretch.alias("stretch")).repartition("token", "stretch")
         for k in orders:
             order = Window.partitionBy("token", "stretch").orderBy(F.xxhash64("cls", F.lit(k)), "cls")
-            before = F.lag("a").over(order)
+            before = F.lag(F.struct("cls", "n")).over(order)
             lists = lists.withColumn(f"b{k}", before if k == cut else F.when(F.col("length").isNull(), before))
         met = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("b")) for k in orders]))
-        pairs = lists.select("a", met.alias("met")).select("a", "met.k", "met.b").filter(F.expr(sizes("a", "b", percent)))
+        pairs = lists.select(F.struct("cls", "n").alias("a"), met.alias("met")).select("a", "met.k", "met.b")
+        pairs = pairs.filter(F.col("b").isNotNull() & F.expr(sizes("a", "b", percent)))
         return pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), "k")
 
     found = [dealt(posts.join(long, "token", "left"), 0, range(ORDERS))]

@@ -366,6 +366,17 @@ def test_sets_tell_hashes_apart_that_share_40_bits():
     assert ngram_jaccard.read(ngram_jaccard.written(hashes)).tolist() == hashes.tolist()
 
 
+def test_neighbours_in_cut_lists(spark, monkeypatch):
+    posts = spark.createDataFrame([(c, 10, 7) for c in range(40)] + [(c, 10, 8) for c in (3, 5)], "cls long, n long, token long")
+    monkeypatch.setattr(ngram_jaccard, "STRETCH", 16)
+    long = spark.createDataFrame([(7, 40)], "token long, length long")
+    found = ngram_jaccard.neighbours(posts, long, 90).collect()
+    met = Counter((r.u, r.v, r.k) for r in found if {r.u, r.v} == {3, 5})
+    assert all(met[3, 5, k] + met[5, 3, k] >= 1 for k in range(ngram_jaccard.ORDERS))
+    # A stretch is a chain: in each order every class but the first of each of the three has one before it.
+    assert Counter(r.k for r in found) == {k: 37 + 1 for k in range(ngram_jaccard.ORDERS)}
+
+
 @pytest.mark.parametrize("size, percent", [(3, 90), (5, 80), (2, 50)])
 def test_links_and_groups(docs, size, percent):
     sets, ids = shingle_sets(size), [r[0] for r in documents()]
@@ -554,6 +565,21 @@ def test_distances(spark):
     assert got[0] == pytest.approx(math.sqrt(jsd)) and got[1] == pytest.approx(1.0) and got[2] is None
 
 
+def test_every_language_has_a_reference_and_null_has_none(spark):
+    rng = np.random.default_rng(9)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), 6)) for _ in range(60))
+
+    rows = [(i, text("abcdefghij" if i % 300 < 299 else "0123456789"), f"l{i % 300}") for i in range(1200)]
+    rows += [(1200, text("0123456789"), "l0"), (1201, text("0123456789"), None), (1202, text("abcdefghij"), "")]
+    out = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows)
+    # Digits are the rule in language 299, odd in language 0, and not judged without a language.
+    assert {r.doc_id for r in out if not r.kept} == {1200}
+    assert [r.class_distance for r in out if r.lang is None] == [None]
+
+
 def test_rules_keep_the_columns(docs, none):
     assert quality_rules.keep(docs).columns == docs.columns
     assert quality_rules.keep(none).count() == 0
