@@ -25,11 +25,12 @@ from kinspark.llm.common import documents
 
 UNKNOWN = "und"
 FOLDS = 5
-#: Bounds of what is fitted: sampled texts and dictionary bytes per language, and languages.
+#: Bounds of what is fitted: sampled texts, characters of each, and dictionary bytes per language.
 SAMPLE_TEXTS = 64
 SAMPLE_BYTES = 2_000
 DICTIONARY_BYTES = 32_000
-MAX_LANGUAGES = 512
+#: A language's sample is drawn from so many samples of its parts, so that no task ranks all of them.
+PARTS = 256
 BLOCK_BYTES = 4_000
 LEVEL = 7
 LETTER = regex.compile(r"\p{L}")
@@ -47,17 +48,17 @@ def normalised(text: str) -> bytes:
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Language -> dictionary content, from at most SAMPLE_TEXTS not held-out texts of each language.
 
-    The sample is the texts with the smallest hash of their id; a language list of at most MAX_LANGUAGES
-    (the most frequent) and at most SAMPLE_BYTES from a text reach the driver.
+    The sample is the texts with the smallest hash of their id; at most SAMPLE_TEXTS times SAMPLE_BYTES
+    characters of each language, of which there is no limit, reach the driver.
     """
     df = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    languages = df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = [r["lang"] for r in languages.collect()]
     # Ranked by ids alone; the texts of the winners are read afterwards.
-    first = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    ids = df.filter(F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).distinct()
-    ids = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_TEXTS)
-    chosen = df.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"])
+    ids = df.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).distinct()
+    ids = ids.withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("hash", "doc_id"))
+        ids = ids.withColumn("place", place).filter(F.col("place") <= SAMPLE_TEXTS)
+    chosen = df.join(ids.select("lang", "doc_id"), ["lang", "doc_id"])
     chosen = chosen.select("lang", "doc_id", F.expr(f"left(text, {SAMPLE_BYTES})").alias("text")).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     rows = chosen.withColumn("place", place).filter(F.col("place") <= SAMPLE_TEXTS).collect()

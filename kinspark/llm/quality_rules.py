@@ -7,9 +7,9 @@ reference of its language:
 * character classes: ASCII lower case, upper case, digits, white space, other ASCII, beyond ASCII;
 * common words: the language's most frequent short words, and the rest in one bin.
 
-References are learned from all documents: per value of the language column, and over all of them for a
-language that is null or beyond the ``MAX_LANGUAGES`` most frequent. A divergence counts only in
-documents long enough for their histogram to mean something.
+References are learned from all documents, one per value of the language column however many there are.
+Documents of a null language have no reference and are judged by the base rule alone. A divergence counts
+only in documents long enough for their histogram to mean something.
 
 Null texts count as empty: no words, rejected by the base rule. A null or repeated id stays as it is:
 rules look at one row at a time. Only the named columns are read, so extra columns cannot clash.
@@ -17,28 +17,15 @@ rules look at one row at a time. Only the named columns are read, so extra colum
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinspark.llm.common import SPACE, words
+from kinspark.sources.stage import Stage
 
 CLASSES = 6
-MAX_LANGUAGES = 256
-ALL = ""  # the key of the reference over all languages
-REFERENCES = T.MapType(
-    T.StringType(),
-    T.StructType(
-        [
-            T.StructField("classes", T.ArrayType(T.DoubleType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-            T.StructField("word_shares", T.ArrayType(T.DoubleType())),
-        ]
-    ),
-)
 
 
 @dataclass(frozen=True)
@@ -67,50 +54,32 @@ def character_classes(df: DataFrame, text: str) -> DataFrame:
     return left.select(*df.columns, F.array(*counts).alias("classes"))
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, dict]:
-    """Per language (at most MAX_LANGUAGES, the most frequent) and over all: class shares, common words.
+def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """A row per language: class shares, common words, shares of these words and of all others.
 
-    Only these go to the driver: a bounded number of short lists.
+    Written as a table, so that its join is a broadcast where its size allows and a shuffle beyond.
     """
-    df = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"))
+    df = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text")).filter(F.col("lang").isNotNull())
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
-    totals = (
-        character_classes(df.withColumn("n", F.size(words())), "text")
-        .rollup("lang")
-        .agg(*sums, F.sum("n").alias("words"), F.count(F.lit(1)).alias("docs"), F.grouping("lang").alias("all"))
-    )
-    rows = totals.orderBy(F.desc("all"), F.desc("docs"), F.asc_nulls_last("lang")).limit(MAX_LANGUAGES + 2).collect()
-    overall, rows = rows[:1], rows[1:]
-
-    known = [r.lang for r in rows if r.lang is not None and r.lang != ALL][:MAX_LANGUAGES]
+    totals = character_classes(df.withColumn("n", F.size(words())), "text").groupBy("lang").agg(*sums, F.sum("n").alias("total"))
     short = F.filter(words(), lambda w: F.length(w) <= rules.common_word_chars)
-    counted = (
-        df.select(F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL)).alias("key"), F.explode(short).alias("word"))
-        .groupBy("key", "word")
-        .count()
-    )
-    both = counted.unionByName(counted.groupBy("word").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("key"), "word", "count"))
-    by_count = Window.partitionBy("key").orderBy(F.desc("count"), F.asc("word"))
-    top = both.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= rules.common_words)
-    listed: dict[str, list] = {}
-    for r in sorted(top.collect(), key=lambda r: r["place"]):
-        key = ALL if r["key"] is None else (r["key"] if r["key"] != ALL else None)
-        if key is not None:
-            listed.setdefault(key, []).append((r["word"], r["count"]))
-
-    def reference(counts, n, key):
-        n_chars, common = sum(c or 0 for c in counts), listed.get(key, [])
-        rest = (n or 0) - sum(c for _, c in common)
-        return {
-            "classes": [(c or 0) / n_chars if n_chars else 0.0 for c in counts],
-            "words": [w for w, _ in common],
-            "word_shares": [c / n if n else 0.0 for c in [*(c for _, c in common), rest]],
-        }
-
-    made = {r.lang: reference(list(r)[1 : 1 + CLASSES], r["words"], r.lang) for r in rows if r.lang in known}
-    for r in overall:
-        made[ALL] = reference(list(r)[1 : 1 + CLASSES], r["words"], ALL)
-    return made
+    counted = df.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").count()
+    by_count = Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
+    top = counted.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= rules.common_words)
+    listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("listed"))
+    df = totals.join(listed, "lang", "left").withColumn("counts", F.array(*[f"c{i}" for i in range(CLASSES)]))
+    df = df.withColumn("listed", F.expr("coalesce(listed, slice(array(struct(0 AS place, '' AS word, 0L AS count)), 1, 0))"))
+    df = df.withColumn("chars", F.expr("aggregate(counts, 0L, (a, c) -> a + c)"))
+    df = df.withColumn("common", F.expr("aggregate(listed, 0L, (a, l) -> a + l.count)"))
+    df = df.select(
+        F.col("lang").alias("ref_lang"),
+        F.struct(
+            F.expr("transform(counts, c -> coalesce(try_divide(double(c), chars), 0D))").alias("classes"),
+            F.col("listed.word").alias("words"),
+            F.expr("transform(concat(listed.count, array(total - common)), c -> coalesce(try_divide(double(c), total), 0D))").alias("word_shares"),
+        ).alias("ref"),
+    )
+    return Stage(docs.sparkSession).save("references", df)
 
 
 def distance(counts: str, reference: str) -> F.Column:
@@ -125,7 +94,7 @@ def distance(counts: str, reference: str) -> F.Column:
         END""")
 
 
-def measured(docs: DataFrame, rules: Rules = Rules(), refs: dict[str, dict] | None = None) -> DataFrame:
+def measured(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = None) -> DataFrame:
     """``docs`` with the measures and verdicts added, one row per row.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance,
@@ -135,6 +104,7 @@ def measured(docs: DataFrame, rules: Rules = Rules(), refs: dict[str, dict] | No
     refs = references(docs, rules) if refs is None else refs
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     df = docs.select(whole.alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("lang"))
+    df = df.join(refs, F.col("lang") == F.col("ref_lang"), "left")
     df = df.withColumn("w", words()).withColumn("n", F.size("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("lines", lines)
@@ -152,8 +122,6 @@ def measured(docs: DataFrame, rules: Rules = Rules(), refs: dict[str, dict] | No
     repeated = "5 + aggregate(transform(slice(places, 2, size(places)), (p, i) -> least(5, p - places[i])), 0, (a, x) -> a + x)"
     df = df.withColumn("repeated", F.expr(f"CASE WHEN recurs AND size(places) > 0 THEN {repeated} ELSE 0 END"))
     df = character_classes(df, "text")
-    keys = F.from_json(F.lit(json.dumps(refs)), REFERENCES)
-    df = df.withColumn("ref", F.coalesce(F.try_element_at(keys, F.col("lang")), F.try_element_at(keys, F.lit(ALL))))
     df = df.withColumn("common", F.expr("filter(w, x -> array_contains(ref.words, x))"))
     df = df.withColumn("listed", F.expr("transform(ref.words, r -> size(filter(common, x -> x = r)))"))
     df = df.withColumn("word_counts", F.expr("concat(listed, array(n - size(common)))"))

@@ -572,6 +572,7 @@ def test_every_language_has_a_reference_and_null_has_none(spark):
         return " ".join("".join(rng.choice(list(letters), 6)) for _ in range(60))
 
     rows = [(i, text("abcdefghij" if i % 300 < 299 else "0123456789"), f"l{i % 300}") for i in range(1200)]
+    rows += [(1203 + i, text("abcdefghij"), "l0") for i in range(40)]
     rows += [(1200, text("0123456789"), "l0"), (1201, text("0123456789"), None), (1202, text("abcdefghij"), "")]
     out = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len(out) == len(rows)
