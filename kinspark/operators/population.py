@@ -67,11 +67,15 @@ def base_population(
 
 
 def base_population_adults(
-    master: DataFrame, counties: DataFrame, slaveholders: DataFrame, people: DataFrame | None = None
+    master: DataFrame,
+    counties: DataFrame,
+    slaveholders: DataFrame,
+    people: DataFrame | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """The alternative base: adults of 1870 and 1880."""
     return base_population(
-        master, counties, slaveholders, years=(1870, 1880), roles=ADULT_ROLES, people=people
+        master, counties, slaveholders, years=(1870, 1880), roles=ADULT_ROLES, people=people, ids=ids
     )
 
 

@@ -275,10 +275,38 @@ class FolderStudy(Study):
     def slaveholders(self) -> DataFrame:
         return self.stage.step("slaveholders", lambda: census_inputs.slaveholders(self.master))
 
+    def attributes_if_made(self, ids: DataFrame) -> DataFrame:
+        """The stored attributes where they are made already, else those of ``ids`` alone.
+
+        The stored ones take the whole lineage, which a base population has no need of.
+        """
+        if "attributes" in self.__dict__:
+            return self.attributes
+        return population.attributes_of(self.master, ids, ids.count())
+
+    def build_base(self) -> DataFrame:
+        people = self.attributes_if_made(self.residents)
+        return population.base_population(
+            self.master, self.counties, self.slaveholders, people=people, ids=self.residents
+        )
+
+    def build_base_adults(self) -> DataFrame:
+        people = self.attributes_if_made(self.adult_residents)
+        return population.base_population_adults(
+            self.master, self.counties, self.slaveholders, people=people, ids=self.adult_residents
+        )
+
+    @cached_property
+    def adult_residents(self) -> DataFrame:
+        """The persons of the alternative base population."""
+        return self.stage.step("adult_residents", self._build_adult_residents)
+
+    def _build_adult_residents(self) -> DataFrame:
+        return population.resident_ids(self.master, self.counties, (1870, 1880), roles=people.ADULT_ROLES)
+
     def wanted(self) -> list[DataFrame]:
         """With the alternative base population."""
-        adults = population.resident_ids(self.master, self.counties, (1870, 1880), roles=people.ADULT_ROLES)
-        return [*super().wanted(), adults]
+        return [*super().wanted(), self.adult_residents]
 
 
 # Raised when a step's result changes, so that no run mixes tables of two versions.

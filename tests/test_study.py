@@ -241,3 +241,15 @@ def test_bloom_filter_of_many_ids(spark):
     counts = {r.odd: r["count"] for r in counts}
     assert counts[0] == 50_000 and counts[1] < 50_000 * 0.06
     assert [words_for(n) for n in (0, 1, 8, 9, 16_000_000)] == [1, 1, 1, 2, 1 << 21]
+
+
+def test_base_populations_need_no_lineage(spark, sf_dir):
+    from kinspark.plans.queries import QUERIES
+    from kinspark.plans.study import FolderStudy
+
+    with FolderStudy(spark, sf_dir) as study:
+        alone = {name: sorted(QUERIES[name](study).collect()) for name in ("base_population", "base_population_adults")}
+        assert not {"lineage_links", "graph", "ids", "attributes"} & set(study.stage.written)
+        assert study.attributes.count() > len(alone["base_population"]) > 0
+        for name, rows in alone.items():
+            assert sorted(QUERIES[name](study).collect()) == rows
