@@ -253,3 +253,45 @@ def test_base_populations_need_no_lineage(spark, sf_dir):
         assert study.attributes.count() > len(alone["base_population"]) > 0
         for name, rows in alone.items():
             assert sorted(QUERIES[name](study).collect()) == rows
+
+
+def test_a_large_family_deals_the_extracts_out_by_record(run, monkeypatch):
+    from kinspark.operators import families
+
+    plain = run()
+    assert plain._dealt_by_family() and "dealt" not in plain.master.columns
+    rows = sorted(map(str, plain.master.collect()))
+    sizes = families.family_sizes
+
+    monkeypatch.setattr(families, "family_sizes", lambda persons: sizes(persons, 2, 4))
+    spread = run()
+    assert not spread._dealt_by_family() and "Exchange" not in plan_of(spread.build_master())
+    assert sorted(map(str, spread.master.collect())) == rows
+
+
+def test_buckets_grow_with_the_records(run, monkeypatch):
+    from kinspark.operators import families, kinship
+
+    assert [families.partitions_for(n) for n in (0, 250_000, 250_001)] == [1, 1, 2]
+    monkeypatch.setattr(families, "MEMBERS_PER_PARTITION", 2)
+    study = run()
+    assert study._buckets() == 5 and plan_of(study.build_master()).count("5 out of 5") == 3
+    # Adults and children of a family meet where they lie.
+    assert "Exchange hashpartitioning" not in plan_of(kinship.parent_child_pairs(study.master))
+
+
+def test_narrow_and_compressed_inputs_of_the_queries(spark, sf_dir, monkeypatch):
+    from kinspark.plans import study as plans
+    from kinspark.plans.queries import QUERIES
+    from kinspark.sources import files
+
+    monkeypatch.setattr(plans, "LINES_PER_FILE", 2_000)
+    with plans.FolderStudy(spark, sf_dir) as study:
+        numbers = sorted(map(str, QUERIES["family_number"](study).collect()))
+        assert "extract" not in study.stage.written
+        assert QUERIES["fixed_width_load"](study).count() == study.census.count()
+        parts = [path for path in files.children(spark, study.census_text) if "part-" in path]
+        assert len(parts) >= study.census.count() / 2_000 and all(path.endswith(".gz") for path in parts)
+        regional = [sorted(map(str, table.collect())) for table in study.extracts]
+        assert regional == [sorted(map(str, table.collect())) for table in plans.census_inputs.extracts(study.extract)]
+        assert sorted(map(str, QUERIES["family_number"](study).collect())) == numbers
