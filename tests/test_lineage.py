@@ -214,3 +214,36 @@ def test_steps_are_written_to_the_session_folder(spark, stage):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert checkpoint_root(spark) == named.rstrip("/")
+
+
+def test_a_large_frontier_sorts_no_edges(spark, stage, no_broadcast, monkeypatch):
+    walker, walk = chain_walk(spark, stage, monkeypatch, broadcast_ids=0)
+    near = walker.index.neighbours(walk.reached, UP)
+    assert "Sort" not in plan_of(near) and "ShuffledHashJoin" in plan_of(near)
+    walk.expanded[UP] = walk.reached
+    assert "Sort" not in plan_of(walker.index.pick(walk.expanded))
+    monkeypatch.setattr(lineage, "HASHED_IDS", 10)  # too many persons in a bucket to be hashed
+    assert "SortMergeJoin" in plan_of(walker.index.neighbours(walk.reached, UP))
+    assert walker.index.neighbours(walk.reached, UP).count() == near.count() == 1_500
+
+
+def test_frequent_keys_by_cells(spark, stage, monkeypatch):
+    """A large cell of several keys, none of them frequent, gives none."""
+    monkeypatch.setattr(lineage, "COUNT_CELLS", 3)
+    pairs = [("hot", f"t{i}") for i in range(30)] + [(f"s{i}", f"t{i}") for i in range(90)]
+    index = EdgeIndex(links_of(spark, pairs).select("src", "tgt", "edg"), stage, frequent_edges=20)
+    assert [r.src for r in index._frequent("src").collect()] == ["hot"]
+    assert index._frequent("tgt").count() == 0
+
+
+def test_tasks_of_a_step_follow_the_persons(spark, stage, monkeypatch):
+    monkeypatch.setattr(lineage, "EDGES_PER_BUCKET", 20)
+    chain = spark.range(2_000).selectExpr("cast(id as string) src", "cast(id + 1 as string) tgt", "'1' edg")
+    walker = LineageWalker(EdgeIndex(chain, stage), stage)
+    walk = walker.start(spark.range(1_500).selectExpr("cast(id as string) hik"))
+    assert walker.index.buckets == 100
+    assert walker.tasks(walk) == 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(lineage, "PERSONS_PER_TASK", 30)
+    assert walker.tasks(walk) == 50
+    step = walker.add(walk, walker.newcomers(walk, walk.reached, UP))
+    assert step.size == 1 and [r.hik for r in walk.table.read([step.number]).collect()] == ["1500"]
