@@ -26,8 +26,17 @@ def parent_child_pairs(master: DataFrame) -> DataFrame:
 
 def descent_links(master: DataFrame) -> DataFrame:
     """One child -> parent edge per pair of persons. A person linked to itself is kept."""
+    return _first_edges(parent_child_pairs(master))
+
+
+def _zero_coded_descent(master: DataFrame) -> DataFrame:
+    """``marriage_edges(descent_links(master))`` from few pairs: no sex above '0' comes before '0'."""
+    return marriage_edges(_first_edges(parent_child_pairs(master).filter("bsx <= '0'")))
+
+
+def _first_edges(pairs: DataFrame) -> DataFrame:
     order = [F.col("bsx").asc_nulls_last(), F.col("csx").asc_nulls_last()]
-    pairs = parent_child_pairs(master).select("phik", "chik", "bsx", "csx")
+    pairs = pairs.select("phik", "chik", "bsx", "csx")
     first = distinct_on(pairs, ["phik", "chik"], order)
     return first.select(
         F.col("chik").alias("src"),
@@ -42,14 +51,15 @@ def descent_links(master: DataFrame) -> DataFrame:
 def marriage_links(master: DataFrame, sexes: DataFrame | None = None) -> DataFrame:
     """One husband -> wife edge per couple, with each person's own sex across all records.
 
-    ``sexes`` is the ``person_sexes`` table of ``master`` where it already exists.
+    ``sexes`` is the ``person_sexes`` table of ``master`` where it already exists. It is one row per person, and
+    compresses so well that Spark would broadcast millions of them; sorted, they may spill.
     """
     linked = master.filter(F.col("hik").isNotNull() & F.col("famcode").isNotNull())
     husbands = linked.filter(F.col("rolecode") == "1").select("famcode", F.col("hik").alias("src"))
     wives = linked.filter(F.col("rolecode") == "2").select("famcode", F.col("hik").alias("tgt"))
     couples = husbands.distinct().join(wives.distinct(), "famcode").filter("src <> tgt")
     couples = couples.select("src", "tgt").distinct()
-    sexes = person_sexes(master) if sexes is None else sexes
+    sexes = (person_sexes(master) if sexes is None else sexes).hint("merge")
     return (
         couples.join(sexes.select(F.col("hik").alias("src"), F.col("sex").alias("sxs")), "src")
         .join(sexes.select(F.col("hik").alias("tgt"), F.col("sex").alias("sxt")), "tgt")
@@ -59,8 +69,12 @@ def marriage_links(master: DataFrame, sexes: DataFrame | None = None) -> DataFra
 
 
 def kinship_links(master: DataFrame, sexes: DataFrame | None = None) -> DataFrame:
-    """Descent and marriage together. They can only coincide if a parent's sex is coded '0'."""
-    return descent_links(master).unionByName(marriage_links(master, sexes)).distinct()
+    """Descent and marriage together. They can only coincide if a parent's sex is coded '0'.
+
+    So the other descent edges, one a pair by themselves, are not compared with anything.
+    """
+    zero_coded = marriage_links(master, sexes).unionByName(_zero_coded_descent(master)).distinct()
+    return other_descent(descent_links(master)).unionByName(zero_coded)
 
 
 def marriages_with_zero_coded(descent: DataFrame, marriages: DataFrame) -> DataFrame:
