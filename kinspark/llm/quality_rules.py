@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kinspark.llm.common import SPACE, words
 from kinspark.sources.stage import Stage
 
-CLASSES = 6
+CLASSES, SPACE_CLASS = 6, 3
 
 
 @dataclass(frozen=True)
@@ -44,14 +44,18 @@ class Rules:
 
 
 def character_classes(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``classes``: code points per class. Each pattern sees only what the earlier ones left."""
+    """Adds ``classes``: code points per class, and ``symbols``: those of ``[#*$%&|<>]``.
+
+    Each pattern sees only what the earlier ones left; for symbols that is the text without letters, digits and space.
+    """
     left = df.withColumn("_0", F.coalesce(F.col(text), F.lit("")))
     patterns = ["[a-z]+", "[A-Z]+", "[0-9]+", SPACE, r"[\x00-\x7F]+"]
     for i, pattern in enumerate(patterns):
         left = left.withColumn(f"_{i + 1}", F.regexp_replace(f"_{i}", pattern, ""))
     lengths = [F.length(f"_{i}") for i in range(CLASSES)]
     counts = [a - b for a, b in zip(lengths, lengths[1:])] + [lengths[-1]]
-    return left.select(*df.columns, F.array(*counts).alias("classes"))
+    symbols = F.length(F.regexp_replace("_4", "[^#*$%&|<>]+", ""))
+    return left.select(*df.columns, F.array(*counts).alias("classes"), symbols.alias("symbols"))
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -125,12 +129,11 @@ def measured(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = N
     df = df.withColumn("common", F.expr("filter(w, x -> array_contains(ref.words, x))"))
     df = df.withColumn("listed", F.expr("transform(ref.words, r -> size(filter(common, x -> x = r)))"))
     df = df.withColumn("word_counts", F.expr("concat(listed, array(n - size(common)))"))
-    symbols = F.length(F.regexp_replace("text", "[^#*$%&|<>]+", ""))
     df = df.select(
         "row",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
+        (F.length("text") - F.col("classes")[SPACE_CLASS]).cast("long").alias("word_chars"),
+        F.col("symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("repeated").cast("long").alias("n_repeat_words"),
         F.length("text").alias("chars"),

@@ -626,3 +626,11 @@ def test_gzip_streams_of_several_members():
     assert list(warc.records_of(warc.inflated(io.BytesIO(data)))) == records
     with pytest.raises(ValueError):
         list(warc.records_of([records[2][:-5]]))
+
+
+def test_symbols_and_word_characters_take_no_pass_of_their_own(spark):
+    """They come from what the character classes leave: one replacement for each of five classes, one for symbols."""
+    df = spark.createDataFrame([(1, "é ä#< >\x0b|\x1c$ Zz9", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    out = quality_rules.measured(df)
+    assert {(r.doc_id, r.word_chars, r.n_symbols) for r in out.collect()} == {(1, 11, 5), (2, 0, 0)}
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 6
