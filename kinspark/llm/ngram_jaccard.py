@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.functions.membership import keep_candidates
 from kinspark.llm.common import components, discard, documents, settle
 from kinspark.llm.shingles import Words, distinct, mix, slices
 from kinspark.sources.stage import Stage
@@ -44,8 +45,11 @@ CHUNK = 4096
 #: Classes of a list that are paired with their neighbours in one task.
 STRETCH = 500
 ORDERS = 3
-#: Bits of the parity sketch of a set.
-SKETCH = 512
+#: So many ids of wanted texts are broadcast as they are, more as a Bloom filter.
+WANTED_IDS = 100_000
+#: Bits of the parity sketch of a set, at least and at most. A sketch much shorter than the set is odd in half its bits
+#: whatever the set, so it has more than twice the bits in which partners may differ.
+SKETCH, LONG_SKETCH = 512, 1 << 13
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -67,21 +71,29 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def parities(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """SKETCH bits per set: whether the number of its shingles with this hash remainder is odd.
+def sketch_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the sketch of a set of n, a power of two."""
+    size = np.clip(2.3 * 2 * (100 - percent) / (100 + percent) * n, SKETCH, LONG_SKETCH)
+    return np.int64(1) << np.ceil(np.log2(size)).astype(np.int64)
 
-    The bits in which two sets differ are no more than the shingles in which they differ.
+
+def parities(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> pa.Array:
+    """``sketch_bits`` bits per set: whether the number of its shingles with this hash remainder is odd.
+
+    The bits in which two sets differ are no more than the shingles in which they differ. A sketch is folded to a
+    shorter one by xor of its parts.
     """
-    sets = len(offsets) - 1
-    bits = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
-    odd = np.zeros(sets * SKETCH, dtype=np.uint8)
-    for at in range(0, sets, 2048):  # a bounded table of counts at a time
-        part = slice(offsets[at], offsets[min(at + 2048, sets)])
-        text = np.repeat(np.arange(min(2048, sets - at)), np.diff(offsets[at : at + 2049]))
-        counts = np.bincount(text * SKETCH + bits[part], minlength=min(2048, sets - at) * SKETCH)
-        odd[at * SKETCH : at * SKETCH + len(counts)] = counts & 1
-    numbers = np.packbits(odd).view("<i8")
-    return pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype="i4") * (SKETCH // 64)), pa.array(numbers))
+    n = np.diff(offsets)
+    sizes = sketch_bits(n, percent)
+    ends = np.r_[0, np.cumsum(sizes)]
+    odd = np.zeros(ends[-1], dtype=np.uint8)
+    for at in range(0, len(n), 2048):  # a bounded table of counts at a time
+        to = min(at + 2048, len(n))
+        part = hashes[offsets[at] : offsets[to]]
+        bits = (part & np.repeat(sizes[at:to] - 1, n[at:to]).astype(np.uint64)).astype(np.int64)
+        counts = np.bincount(np.repeat(ends[at:to] - ends[at], n[at:to]) + bits, minlength=ends[to] - ends[at])
+        odd[ends[at] : ends[to]] = counts & 1
+    return pa.ListArray.from_arrays(pa.array((ends // 64).astype("i4")), pa.array(np.packbits(odd).view("<i8")))
 
 
 def written(hashes: np.ndarray) -> bytes:
@@ -148,7 +160,7 @@ def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataF
                 )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(signatures(hashes, offsets)), pa.array(n.astype("i8")),
-                     pa.ListArray.from_arrays(ends, items), parities(hashes, offsets)],
+                     pa.ListArray.from_arrays(ends, items), parities(hashes, offsets, percent)],
                     names=["doc_id", "text_hash", "cls", "n", "short", "bits"],
                 )
 
@@ -157,7 +169,10 @@ def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataF
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cls, tokens (sorted, see ``written``) of the wanted classes, each named by one id and text of its documents."""
+    """cls, tokens (sorted, see ``written``) of the wanted classes, each named by one id and text of its documents.
+
+    Only texts whose hash is a wanted one's, or seems to be, are dealt out.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +184,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 )
 
     # Repeated rows are made one while they are texts, which are much smaller than their sets.
-    texts = docs.select(F.struct("doc_id", text_hash()).alias("one"), "text")  # structs are equal where their nulls are
+    ids = wanted.select(F.col("one.text_hash").alias("text_hash")).distinct()
+    texts = keep_candidates(docs.select("doc_id", text_hash(), "text"), ids, "text_hash", wanted.count(), WANTED_IDS)
+    texts = texts.select(F.struct("doc_id", "text_hash").alias("one"), "text")  # structs are equal where their nulls are
     texts = texts.join(wanted.select("one"), "one", "left_semi").dropDuplicates(["one"])
     return texts.select("text").mapInArrow(made, "cls long, tokens binary")
 
@@ -219,7 +236,13 @@ def sizes(a: str, b: str, percent: int) -> str:
 
 def differ(a: str, b: str) -> F.Column:
     """Shingles in which two sets differ, at least."""
-    return F.expr(f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+
+    def folded(x: str, y: str) -> str:
+        """x.bits, if they are longer than y.bits folded to as many."""
+        part = f"aggregate(sequence(i, size({x}.bits) - 1, size({y}.bits)), 0L, (s, k) -> s ^ get({x}.bits, k))"
+        return f"if(size({x}.bits) > size({y}.bits), transform(sequence(0, size({y}.bits) - 1), i -> {part}), {x}.bits)"
+
+    return F.expr(f"aggregate(zip_with({folded(a, b)}, {folded(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
 def possible(a: str, b: str, percent: int) -> F.Column:
@@ -261,6 +284,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     # Lists of one class only are of no use; copies of a set are one class.
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
     ends = stage.save("shared", ends.select("token"))  # stored, so that the join with it can split a frequent shingle
+    settle(docs.sparkSession)
     posts = posts.select("cls", "token", "n").join(ends, "token").distinct()
     posts = stage.save("posts", posts)
     some = posts.select("cls").distinct()
@@ -270,7 +294,8 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     # Few lists are longer than a stretch, so the lists need no shuffle to learn it.
     long = posts.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") > STRETCH)
     long = stage.save("long", long)
-    discard(stage, ("heads", "named", "posts", "long"))
+    rows = stage.save("rows", head.drop("short", "bits"))
+    discard(stage, ("rows", "named", "posts", "long"))
     settle(docs.sparkSession)
     near = neighbours(posts, long, percent).distinct()
     a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
@@ -297,9 +322,9 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     met = met.filter(F.expr(f"count >= {short_common('m', 'n', percent)}")).select("u", "v")
     links = links.unionByName(probed(docs, named, met, size, percent, stage))
     labels = stage.save("groups", components(links, stage))
-    discard(stage, ("heads", "groups"))
+    discard(stage, ("rows", "groups"))
     settle(docs.sparkSession)
-    return head.drop("short", "bits"), labels
+    return rows, labels
 
 
 def labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:

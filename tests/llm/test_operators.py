@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinspark.llm import (
     best_fit_packing,
@@ -377,6 +378,44 @@ def test_neighbours_in_cut_lists(spark, monkeypatch):
     assert Counter(r.k for r in found) == {k: 37 + 1 for k in range(ngram_jaccard.ORDERS)}
 
 
+def sketched(spark, sets, percent):
+    hashes = np.concatenate([np.sort(s) for s in sets])
+    bits = ngram_jaccard.parities(hashes, np.r_[0, np.cumsum([len(s) for s in sets])], percent).to_pylist()
+    rows = [(i, (len(s), b)) for i, (s, b) in enumerate(zip(sets, bits))]
+    return spark.createDataFrame(rows, "id long, x struct<n: long, bits: array<long>>")
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_tell_long_sets_apart(spark, percent):
+    r = np.random.default_rng(5)
+    near = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    near = [near, np.r_[near[: 4000 * percent // 100 + 200], r.integers(0, 1 << 63, 90, dtype=np.uint64)]]
+    df = sketched(spark, near + [r.integers(0, 1 << 63, 4000 + i, dtype=np.uint64) for i in range(6)], percent)
+    pairs = df.select("id", df.x.alias("a")).crossJoin(df.select(df.id.alias("other"), df.x.alias("b"))).filter("id < other")
+    assert [(p.id, p.other) for p in pairs.filter(ngram_jaccard.possible("a", "b", percent)).collect()] == [(0, 1)]
+
+
+def test_sketches_of_different_lengths_bound_the_difference(spark):
+    r = np.random.default_rng(6)
+    sets = [r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3, 400, 900, 3000, 0)]
+    sets += [np.r_[sets[2], sets[3][:700]], np.r_[sets[2], sets[1], sets[0]]]
+    df = sketched(spark, sets, 50)
+    assert len({len(row.x.bits) for row in df.collect()}) > 2
+    pairs = df.select("id", df.x.alias("a")).crossJoin(df.select(df.id.alias("other"), df.x.alias("b")))
+    for p in pairs.withColumn("least", ngram_jaccard.differ("a", "b")).collect():
+        assert p.least <= len(set(sets[p.id].tolist()) ^ set(sets[p.other].tolist()))
+        assert p.id != p.other or p.least == 0
+
+
+def test_only_wanted_texts_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, f"w{i} a b c") for i in range(50)], "doc_id long, text string")
+    wanted = docs.filter("doc_id IN (3, 7)").select(F.struct("doc_id", ngram_jaccard.text_hash()).alias("one"))
+    df = ngram_jaccard.whole_sets(docs, wanted, 3)
+    assert len({r.cls for r in df.collect()}) == df.count() == 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # by the hash first, without a shuffle of the texts
+
+
 @pytest.mark.parametrize("size, percent", [(3, 90), (5, 80), (2, 50)])
 def test_links_and_groups(docs, size, percent):
     sets, ids = shingle_sets(size), [r[0] for r in documents()]
