@@ -168,13 +168,14 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     A document at the end of its source's last pass is taken in part, with as many words from its start.
     """
-    taken = mix(docs, block_words).filter("taken > 0")
-    row = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(*by))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), row("taken").alias("_n"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    df = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    df = df.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1))))
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_n"))
-    df = df.join(taken, same)
+    # Repeated rows of an id and text take the numbers of one array, so the texts are dealt out once.
+    key = F.struct("doc_id", "text_hash").alias("_key")  # structs are equal where their nulls are
+    taken = mix(docs, block_words).filter("taken > 0").select(key, "taken", "size")
+    taken = taken.groupBy("_key").agg(F.sort_array(F.collect_list("taken")).alias("_takes"), F.first("size").alias("_size"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    df = docs.withColumn("_key", F.struct(F.col("doc_id").alias("doc_id"), text_hash.alias("text_hash"))).join(taken, "_key")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))) - 1
+    df = df.withColumn("_place", place).withColumn("_taken", F.get("_takes", F.col("_place"))).filter("_taken IS NOT NULL")
     df = df.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
     part = F.array_join(F.slice(words("text"), F.lit(1), F.greatest(F.lit(1), left.cast("int"))), " ")

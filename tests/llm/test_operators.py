@@ -198,6 +198,18 @@ def test_mixed_documents_hold_the_words_taken(docs):
     assert sum(len(words_of(r.text)) for r in out.collect()) == taken
 
 
+def test_mixed_texts_are_dealt_out_once(spark, docs):
+    def dealt(node):
+        own = node.nodeName() == "Exchange" and " text#" in " " + node.output().mkString(" ")
+        return own + sum(dealt(node.children().apply(i)) for i in range(node.children().size()))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert dealt(source_mixing.mixed(docs)._jdf.queryExecution().executedPlan()) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_targets_of_small_sources(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, " ".join("w" * 3000), "y"), (3, None, "z")], "doc_id long, text string, source string")
     got = {r.source: r.target for r in source_mixing.mix(df).collect()}
