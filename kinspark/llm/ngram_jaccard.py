@@ -15,6 +15,12 @@ remaining shingles in the partner's sorted set.
 4. Other links: in lists that hold several components, every class outside the list's largest component
    meets all classes of other components. All pairs that share enough short lists are probed, so no link
    between components is missed, while a group of copies, already one component, makes no pairs.
+5. In lists above LARGE most classes are variants of one text. The lists of one largest component are a
+   family, with the shingles of most of its classes as its centre. Classes close to the centre do not meet in
+   these lists but by their deltas, the few shingles in which they differ from it: the shingles in which two
+   classes differ are those in which their deltas do. So two classes whose deltas are small enough together link
+   without a look; all such are linked with the class that is best at it. Others must share shingles of their deltas,
+   which only few of the family have. Classes far from the centre meet all classes of their lists as in 4.
 
 Shingles are compared by 64-bit hashes in lists and probes, sets by 64-bit hashes.
 
@@ -45,6 +51,8 @@ CHUNK = 4096
 #: Classes of a list that are paired with their neighbours in one task.
 STRETCH = 500
 ORDERS = 3
+#: In lists of more classes, those close to the centre of their family meet by their deltas.
+LARGE = 50
 #: So many ids of wanted texts are broadcast as they are, more as a Bloom filter.
 WANTED_IDS = 100_000
 #: Bits of the parity sketch of a set, at least and at most. A sketch much shorter than the set is odd in half its bits
@@ -275,6 +283,78 @@ def neighbours(posts: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def families(docs: DataFrame, named: DataFrame, kin: DataFrame, size: int, stage: Stage) -> DataFrame:
+    """``kin`` (family, cls, n, label) with delta: the shingles in which a class differs from its family's centre.
+
+    The centre are the shingles that more than half of the family have. A delta above half of the set is null.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [read(x.as_py()) for x in batch.column(1)]
+            family = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            token = np.concatenate([np.zeros(0, "<u8"), *sets]).view(np.int64)
+            order = np.lexsort((token, family))
+            family, token = family[order], token[order]
+            first = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (token[1:] != token[:-1])][: len(token)])
+            k = np.diff(np.r_[first, len(token)])
+            yield pa.RecordBatch.from_arrays([pa.array(family[first]), pa.array(token[first]), pa.array(k)], names=["family", "token", "k"])
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deltas = []
+            for tokens, centre in zip(batch.column(4), batch.column(5)):
+                a = read(tokens.as_py()).view(np.int64)
+                delta = np.setxor1d(a, np.array(centre.as_py() or [], dtype=np.int64))
+                deltas.append(delta if 2 * len(delta) <= len(a) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(deltas, type=pa.list_(pa.int64()))], names=["family", "cls", "n", "label", "delta"])
+
+    wanted = stage.save("wanted", named.select("cls", "one").join(kin.select("cls").distinct(), "cls"))
+    sets = stage.save("sets", whole_sets(docs, wanted, size))
+    both = kin.join(sets, "cls")
+    counts = both.select("family", "tokens").mapInArrow(counted, "family long, token long, k long").groupBy("family", "token").agg(F.sum("k").alias("k"))
+    counts = counts.join(kin.groupBy("family").agg(F.count(F.lit(1)).alias("all")), "family").filter("2 * k > all")
+    centres = stage.save("centres", counts.groupBy("family").agg(F.collect_list("token").alias("centre")))
+    rows = both.join(centres, "family", "left").select("family", "cls", "n", "label", "tokens", "centre")
+    rows = rows.mapInArrow(differences, "family long, cls long, n long, label long, delta array<long>")
+    rows = stage.save("kin", rows)
+    settle(docs.sparkSession)
+    return rows
+
+
+def relatives(kin: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of links and (u, v) of pairs that may link, among the classes of a family that have deltas.
+
+    Two sets link if ``(100 + percent) * differing <= (100 - percent) * (m + n)``. With ``cost`` of a set
+    ``(100 + percent) * size(delta) - (100 - percent) * n``, they link if their costs add up to 0 or less, and else
+    must have ``shared`` shingles of their deltas in common. Those are looked for among the rarest of each delta, which
+    are as many as leave less than ``shared`` over.
+    """
+    cost = F.expr(f"{100 + percent} * size(delta) - {100 - percent} * n").alias("cost")
+    near = kin.filter("delta IS NOT NULL").select("*", F.size("delta").cast("long").alias("most"), cost)
+    best = near.groupBy("family").agg(F.min(F.struct("cost", "cls", "label")).alias("best"))
+    near = near.join(best, "family")
+    # What links with any class by cost links with the best.
+    by_cost = F.expr("cost + best.cost <= 0")
+    links = near.filter(by_cost & F.expr("label <> best.label")).select(F.col("best.cls").alias("u"), F.col("cls").alias("v"))
+    side = F.when(by_cost, F.col("best.label")).otherwise(F.col("label")).alias("side")
+    near = near.select("family", "cls", "n", "delta", "most", "cost", side, F.col("best.label").alias("top"))
+    near = stage.save("near", near)
+    posts = near.select("family", "cls", F.explode("delta").alias("token"))
+    frequent = posts.groupBy("family", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    posts = posts.join(frequent, ["family", "token"], "left").groupBy("family", "cls")
+    posts = posts.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("posts"))
+    posts = near.drop("delta").join(posts, ["family", "cls"]).select("*", F.posexplode("posts").alias("place", "post"))
+    posts = posts.filter("post.k > 1").select("family", "cls", "n", "most", "cost", "side", "top", "place", "post.token")
+    posts = stage.save("deltas", posts)
+    a, b = posts.filter("side <> top").alias("a"), posts.alias("b")
+    fresh = F.expr("a.side <> b.side AND (b.side = b.top OR a.cls < b.cls)") & F.expr(sizes("a", "b", percent))
+    shared = f"greatest(1L, (a.cost + b.cost + {2 * (100 + percent) - 1}) div {2 * (100 + percent)})"
+    rare = F.expr(f"a.place <= a.most - {shared} AND b.place <= b.most - {shared}")
+    pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.token") == F.col("b.token"))).filter(fresh & rare)
+    return links, pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, cls, n) of every row, and (node, label) of the classes that link with another."""
     stage = Stage(docs.sparkSession)
@@ -309,18 +389,27 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[
     # Lists with one component have nothing to add; in the others, all but the largest component ask.
     members = labelled(posts, labels)
     counts = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    mixed = stage.save("tops", mixed.select("token", F.col("top.label").alias("top")))
-    members = members.join(mixed, "token").select("cls", "n", "token", "label", "top")
+    mixed = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("length")).filter("labels > 1")
+    mixed = stage.save("tops", mixed.select("token", F.col("top.label").alias("top"), (F.col("length") > LARGE).alias("large")))
+    members = members.join(mixed, "token").select("cls", "n", "token", "label", "top", "large")
+    kin = stage.save("families", members.filter("large").select(F.col("top").alias("family"), "cls", "n", "label").distinct())
+    kin = families(docs, named, kin, size, stage)
+    by_delta, close = relatives(kin, percent, stage)
+    far = kin.filter("delta IS NULL").select(F.col("family").alias("top"), "cls", F.lit(True).alias("far"))
+    members = members.join(far, ["top", "cls"], "left")
+    asks = F.expr("if(large, far IS NOT NULL, label <> top)").alias("asks")
+    members = members.select("cls", "n", "token", "label", asks)
     members = stage.save("mixed", members.join(named.select("cls", "bits"), "cls"))
     settle(docs.sparkSession)
-    a, b = members.filter("label <> top").alias("a"), members.alias("b")
-    fresh = F.expr("a.label <> b.label AND (b.label = b.top OR a.cls < b.cls)")
+    a, b = members.filter("asks").alias("a"), members.alias("b")
+    fresh = F.expr("a.label <> b.label AND (NOT b.asks OR a.cls < b.cls)")
     pairs = a.join(b, F.col("a.token") == F.col("b.token")).filter(fresh & possible("a", "b", percent))
     # A pair that may link meets in all the short lists it shares, so its meetings are counted.
     met = pairs.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).count()
     met = met.filter(F.expr(f"count >= {short_common('m', 'n', percent)}")).select("u", "v")
-    links = links.unionByName(probed(docs, named, met, size, percent, stage))
+    a, b = (named.select(F.col("cls").alias(c), F.struct("n", "bits").alias(s)) for c, s in (("u", "a"), ("v", "b")))
+    met = met.unionByName(close.join(a, "u").join(b, "v").filter(possible("a", "b", percent)).select("u", "v"))
+    links = links.unionByName(by_delta).unionByName(probed(docs, named, met, size, percent, stage))
     labels = stage.save("groups", components(links, stage))
     discard(stage, ("rows", "groups"))
     settle(docs.sparkSession)

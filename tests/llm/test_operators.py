@@ -441,6 +441,39 @@ def test_links_and_groups(docs, size, percent):
     assert kept.count() == len({g for g, s in zip(group, sets) if s}) + sum(not s for s in sets)
 
 
+def variants(seed, count, edits):
+    """Variants of one text; edits are often the same, and every ninth text is far from the others."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(500)}" for _ in range(120)]
+    for i in range(count):
+        own = list(words)
+        for place in r.sample(range(40), r.randint(1, edits)):
+            own[place] = r.choice("xyz")
+        if i % 9 == 0:
+            own[60:] = [f"v{r.randrange(500)}" for _ in range(60)]
+        yield " ".join(own)
+
+
+@pytest.mark.parametrize("size, percent, edits", [(3, 90, 6), (5, 80, 7)])
+def test_variants_of_a_text_meet_by_their_deltas(spark, monkeypatch, size, percent, edits):
+    texts = list(variants(5, 150, edits))
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in map(str.split, texts)]
+    group = plain_groups(sets, percent)
+    assert 10 < len(set(group)) < 140
+    # Without the sketches, which only thin the pairs out after they have met.
+    monkeypatch.setattr(ngram_jaccard, "possible", lambda a, b, percent: F.expr(ngram_jaccard.sizes(a, b, percent)))
+    met, probed = [], ngram_jaccard.probed
+
+    def counted(docs, named, pairs, *more):
+        met.append(pairs.count())
+        return probed(docs, named, pairs, *more)
+
+    monkeypatch.setattr(ngram_jaccard, "probed", counted)
+    found = ngram_jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size, percent)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: group.index(g) for i, g in enumerate(group)}
+    assert met[1] <= 4 * len(texts)
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 
