@@ -50,6 +50,8 @@ BUCKET_BITS = 22
 CHUNK = 4096
 #: Classes of a list that are paired with their neighbours in one task.
 STRETCH = 500
+#: Bytes of texts or sets that a task works on at a time.
+SLICE = 2 << 20
 ORDERS = 3
 #: In lists of more classes, those close to the centre of their family meet by their deltas.
 LARGE = 50
@@ -95,8 +97,8 @@ def parities(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> pa.Array:
     sizes = sketch_bits(n, percent)
     ends = np.r_[0, np.cumsum(sizes)]
     odd = np.zeros(ends[-1], dtype=np.uint8)
-    for at in range(0, len(n), 2048):  # a bounded table of counts at a time
-        to = min(at + 2048, len(n))
+    for at in range(0, len(n), 512):  # a bounded table of counts at a time
+        to = min(at + 512, len(n))
         part = hashes[offsets[at] : offsets[to]]
         bits = (part & np.repeat(sizes[at:to] - 1, n[at:to]).astype(np.uint64)).astype(np.int64)
         counts = np.bincount(np.repeat(ends[at:to] - ends[at], n[at:to]) + bits, minlength=ends[to] - ends[at])
@@ -118,7 +120,7 @@ def list_lengths(docs: DataFrame, size: int, stage: Stage) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 np.add.at(counts, bucket(sets_of(part, 0, size)[0]), 1)
         rows = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)  # a task's share of a long list
         some = np.flatnonzero(rows.any(axis=1))
@@ -153,7 +155,7 @@ def heads(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataF
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 hashes, offsets = sets_of(part, 2, size)
                 n = np.diff(offsets)
                 text = np.repeat(np.arange(len(n)), n)
@@ -184,7 +186,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 hashes, offsets = sets_of(part, 0, size)
                 rows = [written(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -290,9 +292,9 @@ def families(docs: DataFrame, named: DataFrame, kin: DataFrame, size: int, stage
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [read(x.as_py()) for x in batch.column(1)]
-            family = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        for part in (part for batch in batches for part in slices(batch, 1, SLICE)):
+            sets = [read(x.as_py()) for x in part.column(1)]
+            family = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
             token = np.concatenate([np.zeros(0, "<u8"), *sets]).view(np.int64)
             order = np.lexsort((token, family))
             family, token = family[order], token[order]
@@ -301,13 +303,13 @@ def families(docs: DataFrame, named: DataFrame, kin: DataFrame, size: int, stage
             yield pa.RecordBatch.from_arrays([pa.array(family[first]), pa.array(token[first]), pa.array(k)], names=["family", "token", "k"])
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 4, SLICE)):
             deltas = []
-            for tokens, centre in zip(batch.column(4), batch.column(5)):
+            for tokens, centre in zip(part.column(4), part.column(5)):
                 a = read(tokens.as_py()).view(np.int64)
-                delta = np.setxor1d(a, np.array(centre.as_py() or [], dtype=np.int64))
+                delta = np.setxor1d(a, centre.values.to_numpy() if centre.is_valid else a[:0])
                 deltas.append(delta if 2 * len(delta) <= len(a) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(deltas, type=pa.list_(pa.int64()))], names=["family", "cls", "n", "label", "delta"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(deltas, type=pa.list_(pa.int64()))], names=["family", "cls", "n", "label", "delta"])
 
     wanted = stage.save("wanted", named.select("cls", "one").join(kin.select("cls").distinct(), "cls"))
     sets = stage.save("sets", whole_sets(docs, wanted, size))

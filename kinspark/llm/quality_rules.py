@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import SPACE, words
+from kinspark.llm.common import SPACE, n_words, words
 from kinspark.sources.stage import Stage
 
 CLASSES, SPACE_CLASS = 6, 3
@@ -65,8 +65,9 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     df = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text")).filter(F.col("lang").isNotNull())
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
-    totals = character_classes(df.withColumn("n", F.size(words())), "text").groupBy("lang").agg(*sums, F.sum("n").alias("total"))
-    short = F.filter(words(), lambda w: F.length(w) <= rules.common_word_chars)
+    totals = character_classes(df.withColumn("n", n_words()), "text").groupBy("lang").agg(*sums, F.sum("n").alias("total"))
+    parts = F.split(F.coalesce("text", F.lit("")), SPACE)
+    short = F.filter(parts, lambda w: (w != "") & (F.length(w) <= rules.common_word_chars))
     counted = df.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").count()
     by_count = Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
     top = counted.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= rules.common_words)
@@ -80,6 +81,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.struct(
             F.expr("transform(counts, c -> coalesce(try_divide(double(c), chars), 0D))").alias("classes"),
             F.col("listed.word").alias("words"),
+            F.expr("array_max(transform(listed.word, w -> octet_length(w)))").alias("longest"),
             F.expr("transform(concat(listed.count, array(total - common)), c -> coalesce(try_divide(double(c), total), 0D))").alias("word_shares"),
         ).alias("ref"),
     )
@@ -126,8 +128,8 @@ def measured(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = N
     repeated = "5 + aggregate(transform(slice(places, 2, size(places)), (p, i) -> least(5, p - places[i])), 0, (a, x) -> a + x)"
     df = df.withColumn("repeated", F.expr(f"CASE WHEN recurs AND size(places) > 0 THEN {repeated} ELSE 0 END"))
     df = character_classes(df, "text")
-    df = df.withColumn("common", F.expr("filter(w, x -> array_contains(ref.words, x))"))
-    df = df.withColumn("listed", F.expr("transform(ref.words, r -> size(filter(common, x -> x = r)))"))
+    df = df.withColumn("common", F.expr("filter(w, x -> octet_length(x) <= ref.longest AND array_contains(ref.words, x))"))
+    df = df.withColumn("listed", F.expr("transform(ref.words, r -> size(common) - size(array_remove(common, r)))"))
     df = df.withColumn("word_counts", F.expr("concat(listed, array(n - size(common)))"))
     df = df.select(
         "row",
