@@ -311,6 +311,38 @@ def test_best_scores(spark):
     assert got == sorted(expected, key=str)
 
 
+def test_vectors_are_not_broadcast(spark):
+    """The queries are as many times as large once dealt out to all blocks; Spark would still take them for small."""
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(0, 1, 4)]) for i in range(50)], "vec_id long, embedding array<double>")
+    plan = top_k_search.search(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("most", [0, 127, 128, 2**15, 2**31, 2**63 - 1])
+def test_packed_numbers(most):
+    values = np.array([0, most, -most], dtype=np.int64)
+    assert top_k_search.numbers(top_k_search.packed(values)).tolist() == values.tolist()
+    assert len(top_k_search.packed(values)) == 1 + 3 * (1 if most < 128 else 2 if most < 2**15 else 4 if most < 2**31 else 8)
+
+
+def test_blocks_of_few_rows(spark, monkeypatch):
+    """Entries of several blocks, of one query in several groups and of scores below zero."""
+    monkeypatch.setattr(top_k_search, "BLOCK_ROWS", 16)
+    r = np.random.default_rng(4)
+    for scale, shift in ((1, 0), (1, -2), (2**24, 0), (2**50, 0)):
+        vectors = [(i, [float(x) for x in scale * (r.normal(shift, 1, 5) * [1, 1, 1, -1, 2]).round(1)]) for i in range(75)]
+        got = rows(top_k_search.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=3, query_step=4))
+        quant = [[math.floor(64 * x) for x in v] for _, v in vectors]
+        expected = []
+        for q in range(0, 75, 4):
+            total = {j: sum(a * b for a, b in zip(quant[q], quant[j])) for j in range(75) if j != q}
+            total = {j: min(max(x, -(2**63)), 2**63 - 1) for j, x in total.items()}
+            best = sorted((-x, j) for j, x in total.items())
+            expected += [(q, n + 1, j, -x) for n, (x, j) in enumerate(best[:3])]
+        assert got == sorted(expected, key=str)
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert rows(top_k_search.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema))) == [(0, 1, 1, 64 * 128)]
