@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from kinspark.llm import (
     top_k_search,
     warc,
 )
+from kinspark.llm.shingles import Words
+from kinspark.sources.stage import Stage
 from tests.llm.conftest import documents, words_of
 
 
@@ -83,6 +86,31 @@ def test_windows_that_the_heads_refuse_meet_the_others(spark):
     assert len(expected) == 60 and {(r.doc_id, r.first_doc_id) for r in found} == expected
 
 
+def test_shingles_of_asked_windows_are_not_stored(spark, monkeypatch):
+    """Windows get their shingles where the text is read: they pass through one shuffle and no table."""
+    r, written, write = random.Random(5), [], Stage.write
+    monkeypatch.setattr(Stage, "write", lambda self, name, *a, **k: (written.append(name), write(self, name, *a, **k))[1])
+    word = lambda n: [str(r.randrange(10**6)) for _ in range(n)]
+    quote = word(25)
+    rows = [(i, " ".join(word(40) + quote + word(60))) for i in range(6)]
+    substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    asked = written[written.index("members") : written.index("second")]
+    assert "links" in asked and asked.index("links") < asked.index("near")
+    assert "tokens" not in asked[: asked.index("links")]
+
+
+def test_windows_are_dealt_with_their_shingles(spark):
+    words = [f"w{i}" for i in range(40)]
+    window = "struct<sig: bigint, block: int, blocks: int, asks: boolean, f: int, first: string, c: int, l: int, r: int>"
+    data = [(7, " ".join(words), [(1, 1, 3, True, 0, "a", 9, 4, 12), (2, 0, 1, False, 1, None, 0, 0, 35)]), (8, "a b", [])]
+    texts = spark.createDataFrame(data, f"key long, text string, wanted array<{window}>")
+    shingles = Words(pa.array([" ".join(words)]), lower=True).shingles(substring_dedup.SHINGLE)[0] >> np.uint64(32)
+    got = {(x.sig, x.i, x.j): x for x in substring_dedup.dealt(texts).collect()}
+    assert set(got) == {(1, 0, 1), (1, 1, 1), (1, 1, 2), (2, 0, 0)}
+    assert all(np.frombuffer(x.tokens, "<u4").tolist() == shingles[x.l : x.r + 1].tolist() for x in got.values())
+    assert {(x.key, x.first, x.asks, x.block) for x in got.values()} == {(7, "a", True, 1), (7, None, False, 0)}
+
+
 def test_blocks_of_a_signature_meet(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 3)
     monkeypatch.setattr(substring_dedup, "COLUMNS", 16)
